@@ -3,17 +3,19 @@
 Every byte that a string of ``depth`` bytes covers goes, if that string also starts in a document with a smaller
 doc_id. Suffixes need sorting by their first ``depth`` bytes only, and only where a repeat is possible:
 
-1. Each document is sampled by local minima of a rolling hash over ``GRAM`` bytes. A string of ``depth`` bytes holds at
-   least one sample, the same one wherever it occurs, so a sample that one document alone holds rules its strings out.
-   Samples travel as packed hashes, one row for each batch and suffix bucket.
-2. The strings around the other samples travel to the suffix bucket of their sample with the bytes that they span.
-   A bucket is sorted at a time: contexts that tie over their whole length are ranked once; of the rest, suffixes are
-   sorted by their first bytes, and ties are resolved by precomputed ranks of a difference cover's sample positions.
-   Positions are counted from the sample, so that equal strings have equal residues.
+1. Each document is sampled by local minima of a rolling hash over ``GRAM`` bytes. Every string of ``depth`` bytes has
+   one sample, the leftmost least of its hashes, and has the same one wherever it occurs. A run of strings with one
+   sample spans a context. Samples travel to the suffix bucket of their hash, as packed hashes of sample and context.
+   A bucket drops samples that one document alone holds. Where all contexts of a sample tie over their whole length,
+   they share one rank: all but those of the smallest document are covered.
+2. The other contexts travel to their bucket with the bytes that they span. A bucket is sorted at a time: equal contexts
+   are ranked once; of the rest, suffixes are sorted by their first bytes, and ties are resolved by precomputed ranks of
+   a difference cover's sample positions, counted from the sample, so that equal strings have equal residues.
 3. Covered stretches return to their documents, are merged and cut out.
 
 Texts are shuffled once, by doc_id, and that exchange is reused in every step; a bucket's size is fixed, as the number
-of buckets grows with the number of partitions.
+of buckets grows with the number of partitions. Samples are known by 40 bits besides their bucket's, contexts by 32
+more; where these decide alone, they do so together.
 
 Nulls: a null text is empty; a document with a null doc_id is returned whole and removes nothing. Rows with the same
 doc_id do not remove each other's bytes. An empty table gives no rows. Other columns are ignored.
@@ -31,18 +33,19 @@ from pyspark.sql import functions as F
 
 from .common import mix64, ragged, shuffle_partitions, text_column
 
-GRAM = 26
+GRAM = 22
 #: A difference cover: every residue reaches one of these in at most 5 steps, modulo 13.
 MODULUS, COVER = 13, (0, 1, 3, 9)
 STEP = np.array([min((c - r) % MODULUS for c in COVER) for r in range(MODULUS)])
 #: Texts that are hashed together hold about so many bytes.
 CHUNK = 1 << 21
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Low bits of a packed minimum hold its position in the chunk.
+PLACE = 28
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes at each position, by doubling; never the greatest value."""
+    """A 64-bit hash of the GRAM bytes at each position, by doubling."""
     base = 0xD1342543DE82EF95
     h = {1: _BYTES[data]}
     powers = {1 << i: np.uint64(pow(base, 1 << i, 1 << 64)) for i in range(GRAM.bit_length())}
@@ -57,7 +60,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         if GRAM - at >= length:
             out = out * powers[length] + h[length][at : at + n]
             at += length
-    return np.minimum(mix64(out), _NONE - np.uint64(1))
+    return mix64(out)
 
 
 def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -82,39 +85,59 @@ def chunks(sizes: list[int]) -> Iterator[slice]:
 
 
 class Sampled:
-    """Some texts of at least ``depth`` bytes, one after another, with the hashes and window minima of their bytes."""
+    """Some texts of at least ``depth`` bytes, one after another, and the runs of their strings with one sample.
+
+    ``first``, ``count``, ``at``: a run's first string, its strings and its sample, as positions in ``data``.
+    """
 
     def __init__(self, texts: list[bytes], depth: int):
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.width = depth - GRAM + 1
-        self.hashes = gram_hashes(self.data)
-        self.least = sliding(self.hashes, self.width, np.minimum)  # of the window that starts at each byte
-        self.inside = np.ones(len(self.least), bool)  # windows that lie in one text
+        self.depth = depth
+        hashes = gram_hashes(self.data)
+        low = np.uint64((1 << PLACE) - 1)
+        packed = hashes & ~low | np.arange(len(hashes), dtype=np.uint64)
+        where = (sliding(packed, depth - GRAM + 1, np.minimum) & low).astype(np.int64)
         for end in (self.starts + self.sizes)[:-1].tolist():
-            self.inside[end - depth + 1 : end] = False
+            where[end - depth + 1 : end] = -1  # strings that lie in two texts
+        first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+        count = np.diff(np.append(first, len(where)))
+        keep = where[first] >= 0
+        self.first, self.count, self.at = first[keep], count[keep], where[first][keep]
+        self.text = np.searchsorted(self.starts, self.first, "right") - 1
+        self.hash = hashes[self.at]
 
-    def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Text and hash of every sampled position."""
-        least = np.where(self.inside, self.least, np.uint64(0))
-        edge = np.zeros(self.width - 1, np.uint64)
-        most = sliding(np.concatenate([edge, least, edge]), self.width, np.maximum)
-        at = np.flatnonzero(most == self.hashes)
-        return np.searchsorted(self.starts, at, "right") - 1, self.hashes[at]
+    def contexts(self) -> np.ndarray:
+        """A 32-bit hash of each run's bytes and shape."""
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[self.data] * _powers(len(self.data)), dtype=np.uint64)])
+        end = self.first + self.count + self.depth - 1
+        whole = (prefix[end] - prefix[self.first]) * _inverse(self.first)
+        return (mix64(whole + (self.at - self.first).astype(np.uint64) + (self.count.astype(np.uint64) << np.uint64(8))) >> np.uint64(32)).astype(np.uint32)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows with the same leftmost least position: first window, windows, and that position."""
-        packed = np.arange(len(self.hashes))
+    def among(self, own: list[bytes]) -> np.ndarray:
+        """Which runs have a sample that their text's entry of ``own`` lists (see ``short``)."""
+        hit = np.zeros(len(self.hash), bool)
+        edges = np.searchsorted(self.text, np.arange(len(self.sizes) + 1)).tolist()
+        for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if own[i] and a < b:
+                hit[a:b] = np.isin(self.hash[a:b] >> np.uint64(24), long(own[i]))
+        return hit
 
-        def leftmost(a, b):
-            return np.where(self.hashes[b] < self.hashes[a], b, a)
 
-        where = np.where(self.inside, sliding(packed, self.width, leftmost), -1)
-        first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-        n = np.diff(np.append(first, len(where)))
-        keep = where[first] >= 0
-        return first[keep], n[keep], where[first][keep]
+def short(h: np.ndarray) -> np.ndarray:
+    """The upper 40 bits of hashes, as rows of 5 bytes."""
+    return np.ascontiguousarray((h >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def long(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").reshape(-1)
+
+
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    return (h & np.uint64(0xFFFFFF)) % np.uint64(n)
 
 
 def packed_rows(bucket: np.ndarray, columns: list[np.ndarray], blobs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
@@ -254,55 +277,55 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def find_repeats(docs: DataFrame, depth: int = 50) -> tuple[DataFrame, DataFrame]:
-    """The texts (doc_id, text as bytes), shuffled by doc_id, and their covered stretches (doc_id, packed starts, ends)."""
+def find_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
+    """doc_id, text as bytes, the samples whose whole contexts are covered, and other covered stretches (packed)."""
     if depth < GRAM + 8:
         raise ValueError(f"depth is at least {GRAM + 8}")
     n = shuffle_partitions(docs.sparkSession)
     texts = text_column(docs).filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text")).repartition(n, "doc_id")
 
-    def usable(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Sampled, slice, list[int]]]:
+    def usable(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Sampled, list[int]]]:
         data = b["text"].to_pylist()
         keep = [i for i, t in enumerate(data) if len(t) >= depth]
         ids = np.array(b["doc_id"].to_pylist(), object)[keep].astype(np.int64)
         for part in chunks([len(data[i]) for i in keep]):
-            yield ids[part], Sampled([data[i] for i in keep[part]], depth), part, keep
+            yield ids[part], Sampled([data[i] for i in keep[part]], depth), keep[part]
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, s, _, _ in usable(b):
-                text, h = s.samples()
-                order = np.lexsort((h, text))
-                text, h = text[order], h[order]
-                new = np.append(True, (text[1:] != text[:-1]) | (h[1:] != h[:-1]))
-                text, h = text[new], h[new]
-                yield packed_rows(h % np.uint64(n), [ids[text], h])
+            for ids, s, _ in usable(b):
+                c = s.contexts()
+                order = np.lexsort((c, s.hash, s.text))
+                text, h, c = s.text[order], s.hash[order], c[order]
+                new = np.append(True, (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
+                text, h, c = text[new], h[new], c[new]
+                yield packed_rows(bucket_of(h, n), [ids[text], short(h), c])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in by_bucket(batches, 2):
-            doc, h = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.uint64)
+        for raw in by_bucket(batches, 3):
+            doc, h, c = np.frombuffer(raw[0], np.int64), long(raw[1]), np.frombuffer(raw[2], np.uint32)
             order = np.lexsort((doc, h))
-            doc, h = doc[order], h[order]
+            doc, h, c = doc[order], h[order], c[order]
             new = np.append(True, h[1:] != h[:-1])
-            group = np.cumsum(new) - 1
-            last = np.append(np.flatnonzero(new)[1:] - 1, len(h) - 1)
-            more = (doc[new] != doc[last])[group] & np.append(True, (doc[1:] != doc[:-1]) | new[1:])
-            yield by_document(doc[more], [h[more]])
+            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            last = np.append(first[1:] - 1, len(h) - 1)
+            tied = np.minimum.reduceat(c, first) == np.maximum.reduceat(c, first)
+            once = new | np.append(True, doc[1:] != doc[:-1])  # a document's sample with several contexts is one
+            several = (doc[first] != doc[last])[group] & once
+            closed = several & tied[group] & (doc > doc[first][group])
+            open_ = several & ~tied[group]
+            for at, empty in ((closed, 1), (open_, 0)):
+                part = by_document(doc[at], [short(h[at] << np.uint64(24))])
+                nothing = pa.array([None] * part.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([part[0], *((part[1], nothing) if empty else (nothing, part[1]))], names=["doc_id", "closed", "open"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known = b["hashes"].to_pylist()
-            for ids, s, part, keep in usable(b):
-                first, count, at = s.runs()
-                text = np.searchsorted(s.starts, first, "right") - 1
-                h = s.hashes[at]
-                hit = np.zeros(len(h), bool)
-                edges = np.searchsorted(text, np.arange(len(ids) + 1))
-                for i, row in enumerate(keep[part]):
-                    own = slice(edges[i], edges[i + 1])
-                    hit[own] = np.isin(h[own], np.frombuffer(b"".join(known[row]), np.uint64))
-                first, count, at, text, h = first[hit], count[hit], at[hit], text[hit], h[hit]
-                yield packed_rows(h % np.uint64(n), [ids[text], h, (first - s.starts[text]).astype(np.uint32), (at - first).astype(np.uint8), count.astype(np.uint8)], (s.data, first, count + depth - 1))
+            known = b["open"].to_pylist()
+            for ids, s, rows in usable(b):
+                hit = s.among([b"".join(known[row]) for row in rows])
+                first, count, at, text, h = s.first[hit], s.count[hit], s.at[hit], s.text[hit], s.hash[hit]
+                yield packed_rows(bucket_of(h, n), [ids[text], h, (first - s.starts[text]).astype(np.uint32), (at - first).astype(np.uint8), count.astype(np.uint8)], (s.data, first, count + depth - 1))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw in by_bucket(batches, 6):
@@ -327,12 +350,13 @@ def find_repeats(docs: DataFrame, depth: int = 50) -> tuple[DataFrame, DataFrame
                     last = np.append(np.flatnonzero(new)[1:] - 1, len(place) - 1)
                     yield by_document(owner[new], [place[new].astype(np.uint32), (place[last] + depth).astype(np.uint32)])
 
-    sampled = texts.mapInArrow(sample, "bucket int, c0 binary, c1 binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    known = sampled.mapInArrow(shared, "doc_id long, c0 binary").groupBy("doc_id").agg(F.collect_list("c0").alias("hashes"))
-    hopeful = texts.join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "hashes")
+    sampled = texts.mapInArrow(sample, "bucket int, c0 binary, c1 binary, c2 binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    known = sampled.mapInArrow(shared, "doc_id long, closed binary, open binary").groupBy("doc_id").agg(F.collect_list("closed").alias("closed"), F.collect_list("open").alias("open"))
+    hopeful = texts.join(known.hint("shuffle_hash"), "doc_id").filter(F.size("open") > 0).select("doc_id", "text", "open")
     schema = "bucket int, " + ", ".join(f"c{i} binary" for i in range(6))
     met = hopeful.mapInArrow(contexts, schema).repartition(n, "bucket").sortWithinPartitions("bucket")
-    return texts, met.mapInArrow(cover, "doc_id long, c0 binary, c1 binary").groupBy("doc_id").agg(F.collect_list(F.struct("c0", "c1")).alias("spans"))
+    spans = met.mapInArrow(cover, "doc_id long, c0 binary, c1 binary").groupBy("doc_id").agg(F.collect_list(F.struct("c0", "c1")).alias("spans"))
+    return texts.join(known.hint("shuffle_hash"), "doc_id", "left").join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "closed", "spans")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -340,15 +364,26 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def remove_repeats(docs: DataFrame, depth: int = 50, digest: bool = True) -> DataFrame:
     """What is left of every document: RESULT, or (doc_id, kept, spans) with the remaining bytes if not ``digest``."""
-    texts, spans = find_repeats(docs, depth)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, data, parts in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
+            texts, closed = b["text"].to_pylist(), [b"".join(x or ()) for x in b["closed"].to_pylist()]
+            ties: dict[int, np.ndarray] = {}
+            rich = [i for i, x in enumerate(closed) if x]
+            for part in chunks([len(texts[i]) for i in rich]):
+                s = Sampled([texts[i] for i in rich[part]], depth)
+                hit = s.among([closed[i] for i in rich[part]])
+                text, start = s.text[hit], (s.first - s.starts[s.text])[hit]
+                both = np.stack([start, start + s.count[hit] + depth - 1], 1)
+                edges = np.searchsorted(text, np.arange(len(rich[part]) + 1)).tolist()
+                ties |= {i: both[x:y] for i, x, y in zip(rich[part], edges, edges[1:], strict=False)}
+            for i, (doc_id, data, parts) in enumerate(zip(b["doc_id"].to_pylist(), texts, b["spans"].to_pylist(), strict=True)):
                 runs: list[tuple[int, int]] = []
-                if parts:
-                    found = np.stack([np.frombuffer(b"".join(p[c] for p in parts), np.uint32) for c in ("c0", "c1")], 1)
+                if parts or i in ties:
+                    found = [ties[i]] if i in ties else []
+                    if parts:
+                        found.append(np.stack([np.frombuffer(b"".join(p[c] for p in parts), np.uint32) for c in ("c0", "c1")], 1).astype(np.int64))
+                    found = np.concatenate(found)
                     runs = merged(found[np.argsort(found[:, 0], kind="stable")])
                 kept = b"".join(data[x:y] for x, y in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(data)], strict=True)) if runs else data
                 if digest:
@@ -360,6 +395,5 @@ def remove_repeats(docs: DataFrame, depth: int = 50, digest: bool = True) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=names)
 
     schema = RESULT if digest else "doc_id long, kept binary, spans array<struct<start:long,end:long>>"
-    loose = text_column(docs).filter("doc_id is null").select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<struct<c0:binary,c1:binary>>").alias("spans"))
-    found = texts.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
-    return found.unionByName(loose).mapInArrow(cut, schema)
+    loose = text_column(docs).filter("doc_id is null").select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<binary>").alias("closed"), F.lit(None).cast("array<struct<c0:binary,c1:binary>>").alias("spans"))
+    return find_repeats(docs, depth).unionByName(loose).mapInArrow(cut, schema)
