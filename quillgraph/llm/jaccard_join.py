@@ -1,9 +1,12 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
 Two sets of similarity t or more share a token among the first n - ceil(t * n) + 1 of each, under every global order.
-Candidates come from the first order, which puts rare tokens first; a candidate pair must then share a prefix token
-under two more orders before the sets are compared. The rare-first orders rest on a counting sketch of fixed size over
-the tokens of all documents: as any order is correct, a coarse one only costs time.
+An order that puts tokens of one set alone before all others lets a set out that has that many of them: it links with
+nothing. A fixed share of the token space (by hash) is counted for that, over all documents, which leaves few sets.
+
+Of these, candidates come from a rare-first order, and a candidate pair must then share a prefix token under two more
+orders before the sets are compared. The rare-first orders rest on a counting sketch of fixed size: as any order is
+correct, a coarse one only costs time.
 
 Documents with equal sets are one node. Groups of nodes behind a common token are not expanded into all pairs: the
 group's members first meet a few hubs, the verified links make components, and only pairs across components are
@@ -26,6 +29,10 @@ from .common import ascii_lower, mix64, shuffle_partitions, text_column, written
 from .components import connected_components
 
 SKETCH, CHUNKS = 1 << 20, 64
+#: One token hash in so many is counted exactly.
+SHARE = 4
+#: Ids of kept documents are sent to all executors up to this number (8 bytes each), and joined beyond it.
+MOST_SENT = 1 << 20
 #: Orders after the first differ in how they break ties.
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 #: Groups of more nodes meet through hubs first.
@@ -89,22 +96,108 @@ def _bytes(rows: list) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
-def describe(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, node) of every document, and the sketch's levels: one pass over the texts."""
+def describe(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n, node) of every document; a document without words has no node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "node", "chunk", "counts"]
-        counts = np.zeros(SKETCH, np.uint32)
         for b in batches:
             sets = token_sets(b["text"].to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "node"])
+
+    return written(text_column(docs).mapInArrow(run, "doc_id long, n long, node long"), "nodes")
+
+
+def _rows_by(key: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each key (sorted together with the columns), with its part of each column as bytes."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
+    parts = list(zip(edges.tolist(), edges[1:].tolist(), strict=False))
+    out = [pa.array(key[edges[:-1]].astype(np.int32), pa.int32())]
+    out += [_bytes([c[i:j].tobytes() for i, j in parts]) for c in (c[order] for c in columns)]
+    return pa.RecordBatch.from_arrays(out, names=["bucket", *(f"c{i}" for i in range(len(columns)))])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], types: tuple) -> Iterator[list[np.ndarray]]:
+    """The columns of one bucket at a time; rows come sorted by bucket."""
+    current, held = None, []
+    arrays = lambda: [np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), types, strict=True)]
+    for b in batches:
+        for bucket, *rest in zip(*(b[i].to_pylist() for i in range(len(types) + 1)), strict=True):
+            if bucket != current and held:
+                yield arrays()
+                held = []
+            current = bucket
+            held.append(rest)
+    if held:
+        yield arrays()
+
+
+def lone_tokens(docs: DataFrame, words: int) -> DataFrame:
+    """(node, lone): how many of a node's counted tokens no other node has; nodes without any are missing."""
+    n = shuffle_partitions(docs.sparkSession)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [s for s in token_sets(b["text"].to_pylist(), words) if len(s)]
             if sets:
-                counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([None] * n, pa.int32()), _bytes([None] * n)], names=names)
-        chunks = [x.astype("<u2" if x.max() < 65536 else "<u4").tobytes() for x in counts.reshape(CHUNKS, -1)]
+                node = np.repeat(np.array([node_of(s) for s in sets]), [len(s) for s in sets])
+                t = np.concatenate(sets)
+                counted = t % np.uint64(SHARE) == 0
+                t, node = t[counted] >> np.uint64(8), node[counted]
+                yield _rows_by((t & np.uint64(0xFFFF)) % np.uint64(n), [node, np.ascontiguousarray((t >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, raw in _by_bucket(batches, (np.int64, np.uint8)):
+            wide = np.zeros((len(node), 8), np.uint8)
+            wide[:, :5] = raw.reshape(-1, 5)
+            t = wide.view("<u8").reshape(-1)
+            order = np.lexsort((node, t))
+            t, node = t[order], node[order]
+            new = np.append(True, t[1:] != t[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:] - 1, len(t) - 1)
+            lone, times = np.unique(node[first[node[first] == node[last]]], return_counts=True)
+            yield _rows_by(lone.view(np.uint64) % np.uint64(n), [lone, times.astype(np.uint32)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, times in _by_bucket(batches, (np.int64, np.uint32)):
+            own, at = np.unique(node, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, times).astype(np.int64))], names=["node", "lone"])
+
+    packed = "bucket int, c0 binary, c1 binary"
+    counted = text_column(docs).mapInArrow(emit, packed).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count, packed)
+    return counted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "node long, lone long")
+
+
+def possible_sets(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, tokens) of the nodes that may have a link at all."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = token_sets(b["text"].to_pylist(), words)
+            keep = [i for i, (s, node) in enumerate(zip(found, b["node"].to_pylist(), strict=True)) if len(s) and node_of(s) == node]
+            yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(keep, pa.int64())), _bytes([found[i].tobytes() for i in keep])], names=["node", "tokens"])
+
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    keepers = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    keepers = written(keepers.join(lone_tokens(docs, words), "node", "left").filter(F.coalesce("lone", F.lit(0)) < need).select("doc_id", "node"), "keepers")
+    few = keepers.count() <= MOST_SENT
+    texts = text_column(docs).join(keepers.hint("broadcast" if few else "shuffle_hash"), "doc_id").select("node", "text")
+    return written(texts.mapInArrow(sets, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "tokens")
+
+
+def sketch_of(sets: DataFrame) -> np.ndarray:
+    """The levels of a counting sketch over the tokens of all sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH, np.uint32)
+        for b in batches:
+            raw = b"".join(b["tokens"].to_pylist())
+            counts += np.bincount((np.frombuffer(raw, np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
         if counts.any():
-            empty = pa.array([None] * CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(range(CHUNKS), pa.int32()), _bytes(chunks)], names=names)
+            chunks = [x.astype("<u2" if x.max() < 65536 else "<u4").tobytes() for x in counts.reshape(CHUNKS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), _bytes(chunks)], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -114,12 +207,11 @@ def describe(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
                 total[chunk] = total[chunk] + x if chunk in total else x.astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), _bytes([x.tobytes() for x in total.values()])], names=["chunk", "counts"])
 
-    found = written(text_column(docs).mapInArrow(run, "doc_id long, n long, node long, chunk int, counts binary"), "sets")
-    parts = found.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()  # SKETCH counts
+    schema = "chunk int, counts binary"
     sketch = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint64)
-    for r in parts:
+    for r in sets.select("tokens").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).collect():  # SKETCH numbers, whatever the input
         sketch[r["chunk"]] = np.frombuffer(r["counts"], np.uint64)
-    return found.filter("chunk is null").select("doc_id", "n", "node"), levels(sketch.reshape(-1))
+    return levels(sketch.reshape(-1))
 
 
 PAIRS = "a long, b long"
@@ -147,42 +239,27 @@ def _all_pairs(nodes: np.ndarray, sizes: np.ndarray, components: np.ndarray, per
             yield int(nodes[i]), int(nodes[j])
 
 
-def candidates(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
+def candidates(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     """Rows of kind 0 (pair a, b) and of kind 1 (group a, node b, size n): the large groups, for later rounds.
 
     Prefix tokens travel packed, a row for each batch and bucket; a bucket's groups are made in one task at a time.
     """
-    spark = docs.sparkSession
-    sent, buckets = spark.sparkContext.broadcast(sketch), 4 * shuffle_partitions(spark)
+    spark = sets.sparkSession
+    sent, buckets = spark.sparkContext.broadcast(sketch), shuffle_partitions(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens, nodes, sizes = [], [], []
-            for s in token_sets(b["text"].to_pylist(), words):
-                if len(s):
-                    p = prefix(s, sent.value, 0, percent)
-                    tokens.append(p)
-                    nodes.append(np.full(len(p), node_of(s), np.int64))
-                    sizes.append(np.full(len(p), len(s), np.int32))
-            if not tokens:
-                continue
-            t, v, n = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-            bucket = (t >> np.uint64(20)) % np.uint64(buckets)
-            order = np.lexsort((v, t, bucket))
-            t, v, n, bucket = t[order], v[order], n[order], bucket[order]
-            new = np.append(True, (t[1:] != t[:-1]) | (v[1:] != v[:-1]))  # equal sets of one batch are one
-            t, v, n, bucket = t[new], v[new], n[new], bucket[new]
-            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(t)]
-            rows = [(int(bucket[i]), t[i:j].tobytes(), v[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(edges, edges[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(_bytes([r[k] for r in rows]) for k in (1, 2, 3))], names=["bucket", "tokens", "nodes", "sizes"])
+            found = [np.frombuffer(x, np.uint64) for x in b["tokens"].to_pylist()]
+            if found:
+                prefixes = [prefix(x, sent.value, 0, percent) for x in found]
+                n = [len(p) for p in prefixes]
+                t = np.concatenate(prefixes)
+                yield _rows_by((t >> np.uint64(20)) % np.uint64(buckets), [t, np.repeat(np.array(b["node"].to_pylist()), n), np.repeat(np.array([len(x) for x in found], np.int32), n)])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-            t, v, n = (np.frombuffer(b"".join(x), d) for x, d in zip(zip(*held, strict=True), (np.uint64, np.int64, np.int32), strict=True))
+        for t, v, n in _by_bucket(batches, (np.uint64, np.int64, np.int32)):
             order = np.lexsort((v, n, t))
             t, v, n = t[order], v[order], n[order]
-            new = np.append(True, (t[1:] != t[:-1]) | (v[1:] != v[:-1]))
-            t, v, n = t[new], v[new], n[new]
             edges = np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t))
             size = np.diff(edges)
             pairs: set[tuple[int, int]] = set()
@@ -195,21 +272,10 @@ def candidates(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) ->
                     pairs.update(_hub_pairs(v[g], n[g], percent, 0))
                     large += [(int(t[g.start].view(np.int64)), a, b) for a, b in zip(v[g].tolist(), n[g].tolist(), strict=True)]
             rows = [(0, a, b, None) for a, b in pairs] + [(1, *x) for x in large]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["kind", "a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["kind", "a", "b", "n"])
 
-        current, held = None, []
-        for b in batches:
-            for bucket, *rest in zip(*(b[c].to_pylist() for c in ("bucket", "tokens", "nodes", "sizes")), strict=True):
-                if bucket != current and held:
-                    yield groups(held)
-                    held = []
-                current = bucket
-                held.append(tuple(rest))
-        if held:
-            yield groups(held)
-
-    packed = text_column(docs).mapInArrow(emit, "bucket int, tokens binary, nodes binary, sizes binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "kind int, a long, b long, n int")
+    packed = sets.mapInArrow(emit, "bucket int, c0 binary, c1 binary, c2 binary")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "kind int, a long, b long, n int")
 
 
 def across(groups: DataFrame, components: DataFrame, percent: int, turn: int | None) -> DataFrame:
@@ -245,18 +311,12 @@ def across(groups: DataFrame, components: DataFrame, percent: int, turn: int | N
     return rows.mapInArrow(run, PAIRS)
 
 
-def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
+def verify(sets: DataFrame, pairs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked: they share a prefix token under every further order, and their sets agree.
 
     A pair's ``a`` is read once for all its partners, which stream by.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = token_sets(b["text"].to_pylist(), words)
-            keep = [i for i, (s, node) in enumerate(zip(found, b["node"].to_pylist(), strict=True)) if len(s) and node_of(s) == node]
-            yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(keep, pa.int64())), _bytes([found[i].tobytes() for i in keep])], names=["node", "tokens"])
+    sent = sets.sparkSession.sparkContext.broadcast(sketch)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, prefixes, current = np.zeros(0, np.uint64), [], None
@@ -271,12 +331,8 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, sketch: np.ndarr
                     out.append((a, partner))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keepers = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    texts = text_column(docs).join(keepers.hint("shuffle_hash"), "doc_id")
-    found = written(texts.select("node", "text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"]), "tokens")
-    hubs = found.join(pairs.select("a").distinct(), F.col("node") == F.col("a"), "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
-    partners = pairs.join(found.withColumnRenamed("node", "b"), "b").select("a", "b", "tokens")
+    hubs = sets.join(pairs.select("a").distinct(), F.col("node") == F.col("a"), "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+    partners = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", "tokens")
     return hubs.unionByName(partners).repartition("a").sortWithinPartitions(F.col("a"), F.col("b").asc_nulls_first()).mapInArrow(compare, PAIRS)
 
 
@@ -285,17 +341,19 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFr
 
     Documents link whose sets have at least ``percent`` / 100 of their union in common.
     """
-    nodes, sketch = describe(docs, words)
-    met = written(candidates(docs, sketch, words, percent), "met")
+    nodes = describe(docs, words)
+    sets = possible_sets(docs, nodes, words, percent)
+    sketch = sketch_of(sets)
+    met = written(candidates(sets, sketch, percent), "met")
     groups = met.filter("kind = 1")
     pairs = written(met.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    links = written(verify(docs, nodes, pairs, sketch, words, percent), "links")
+    links = written(verify(sets, pairs, sketch, percent), "links")
     components = written(connected_components(links), "components")
     for turn in [*range(1, HUB_ROUNDS), None]:
         more = written(across(groups, components, percent, turn).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
-        new = written(verify(docs, nodes, more, sketch, words, percent), "links")
+        new = written(verify(sets, more, sketch, percent), "links")
         pairs = pairs.unionByName(more)
         links = links.unionByName(new)
         if not new.isEmpty():
