@@ -20,6 +20,7 @@ import bisect
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ class WordEncoder:
     not in the table are encoded together, in one call per batch. The table stops growing at ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.encoder, self.most = Tokenizer.from_file(path), most
@@ -79,6 +80,12 @@ class WordEncoder:
         return flat[ragged(starts[index], n)], np.diff(np.concatenate([[0], per_text]))
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """A worker's encoder, which keeps the words that it has seen from one task to the next."""
+    return WordEncoder(path)
+
+
 def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, common: int = 48) -> list[tuple[int, ...]]:
     """Shallow combinations that fill a window: every pair, and triples and fours through the most common lengths."""
     have = set(lengths.tolist())
@@ -200,7 +207,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     """One row per piece: PACKED. Sequences are numbered from 0 without gaps."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path)
         part, ranks = TaskContext.get().partitionId(), np.zeros(window, np.int64)
         names = [x.split()[0] for x in FIRST.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
