@@ -156,18 +156,18 @@ def packed_rows(bucket: np.ndarray, columns: list[np.ndarray], blobs: tuple[np.n
     return pa.RecordBatch.from_arrays(out, names=["bucket", *(f"c{i}" for i in range(len(out) - 1))])
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[bytes]]:
-    """The columns of one bucket at a time, joined; rows come sorted by bucket."""
+def by_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[bytes]]]:
+    """A bucket and its columns, joined, one at a time; rows come sorted by bucket."""
     current, held = None, []
     for b in batches:
         for bucket, *rest in zip(*(b[i].to_pylist() for i in range(columns + 1)), strict=True):
             if bucket != current and held:
-                yield [b"".join(x) for x in zip(*held, strict=True)]
+                yield current, [b"".join(x) for x in zip(*held, strict=True)]
                 held = []
             current = bucket
             held.append(rest)
     if held:
-        yield [b"".join(x) for x in zip(*held, strict=True)]
+        yield current, [b"".join(x) for x in zip(*held, strict=True)]
 
 
 def by_document(doc: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -278,7 +278,7 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def find_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
-    """doc_id, text as bytes, the samples whose whole contexts are covered, and other covered stretches (packed)."""
+    """doc_id, text as bytes, and the covered stretches of every document (packed)."""
     if depth < GRAM + 8:
         raise ValueError(f"depth is at least {GRAM + 8}")
     n = shuffle_partitions(docs.sparkSession)
@@ -302,7 +302,7 @@ def find_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
                 yield packed_rows(bucket_of(h, n), [ids[text], short(h), c])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in by_bucket(batches, 3):
+        for _, raw in by_bucket(batches, 3):
             doc, h, c = np.frombuffer(raw[0], np.int64), long(raw[1]), np.frombuffer(raw[2], np.uint32)
             order = np.lexsort((doc, h))
             doc, h, c = doc[order], h[order], c[order]
@@ -321,14 +321,25 @@ def find_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known = b["open"].to_pylist()
+            closed, open_ = b["closed"].to_pylist(), b["open"].to_pylist()
             for ids, s, rows in usable(b):
-                hit = s.among([b"".join(known[row]) for row in rows])
+                tied = s.among([b"".join(closed[row]) for row in rows])
+                text, start = s.text[tied], (s.first - s.starts[s.text])[tied]
+                end = start + s.count[tied] + depth - 1
+                if len(text):  # known to be covered: stretches that meet are one, and pass through under a bucket below 0
+                    new = np.append(True, (text[1:] != text[:-1]) | (start[1:] > end[:-1]))
+                    last = np.append(np.flatnonzero(new)[1:] - 1, len(text) - 1)
+                    done = [ids[text[new]].tobytes(), b"", start[new].astype(np.uint32).tobytes(), end[last].astype(np.uint32).tobytes(), b"", b""]
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - int(ids[0]) % n], pa.int32()), *(pa.array([x], pa.binary()) for x in done)], names=["bucket", *(f"c{i}" for i in range(6))])
+                hit = s.among([b"".join(open_[row]) for row in rows])
                 first, count, at, text, h = s.first[hit], s.count[hit], s.at[hit], s.text[hit], s.hash[hit]
                 yield packed_rows(bucket_of(h, n), [ids[text], h, (first - s.starts[text]).astype(np.uint32), (at - first).astype(np.uint8), count.astype(np.uint8)], (s.data, first, count + depth - 1))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in by_bucket(batches, 6):
+        for bucket, raw in by_bucket(batches, 6):
+            if bucket < 0:
+                yield by_document(np.frombuffer(raw[0], np.int64), [np.frombuffer(raw[2], np.uint32), np.frombuffer(raw[3], np.uint32)])
+                continue
             doc, h, at, offset, count, data = (np.frombuffer(x, d) for x, d in zip(raw, (np.int64, np.uint64, np.uint32, np.uint8, np.uint8, np.uint8), strict=True))
             at, offset, count = at.astype(np.int64), offset.astype(np.int64), count.astype(np.int64)
             edges = [0]  # whole samples, so many that their suffixes fit in memory
@@ -352,11 +363,11 @@ def find_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
 
     sampled = texts.mapInArrow(sample, "bucket int, c0 binary, c1 binary, c2 binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     known = sampled.mapInArrow(shared, "doc_id long, closed binary, open binary").groupBy("doc_id").agg(F.collect_list("closed").alias("closed"), F.collect_list("open").alias("open"))
-    hopeful = texts.join(known.hint("shuffle_hash"), "doc_id").filter(F.size("open") > 0).select("doc_id", "text", "open")
+    hopeful = texts.join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "closed", "open")
     schema = "bucket int, " + ", ".join(f"c{i} binary" for i in range(6))
     met = hopeful.mapInArrow(contexts, schema).repartition(n, "bucket").sortWithinPartitions("bucket")
     spans = met.mapInArrow(cover, "doc_id long, c0 binary, c1 binary").groupBy("doc_id").agg(F.collect_list(F.struct("c0", "c1")).alias("spans"))
-    return texts.join(known.hint("shuffle_hash"), "doc_id", "left").join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "closed", "spans")
+    return texts.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -367,23 +378,10 @@ def remove_repeats(docs: DataFrame, depth: int = 50, digest: bool = True) -> Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            texts, closed = b["text"].to_pylist(), [b"".join(x or ()) for x in b["closed"].to_pylist()]
-            ties: dict[int, np.ndarray] = {}
-            rich = [i for i, x in enumerate(closed) if x]
-            for part in chunks([len(texts[i]) for i in rich]):
-                s = Sampled([texts[i] for i in rich[part]], depth)
-                hit = s.among([closed[i] for i in rich[part]])
-                text, start = s.text[hit], (s.first - s.starts[s.text])[hit]
-                both = np.stack([start, start + s.count[hit] + depth - 1], 1)
-                edges = np.searchsorted(text, np.arange(len(rich[part]) + 1)).tolist()
-                ties |= {i: both[x:y] for i, x, y in zip(rich[part], edges, edges[1:], strict=False)}
-            for i, (doc_id, data, parts) in enumerate(zip(b["doc_id"].to_pylist(), texts, b["spans"].to_pylist(), strict=True)):
+            for doc_id, data, parts in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
                 runs: list[tuple[int, int]] = []
-                if parts or i in ties:
-                    found = [ties[i]] if i in ties else []
-                    if parts:
-                        found.append(np.stack([np.frombuffer(b"".join(p[c] for p in parts), np.uint32) for c in ("c0", "c1")], 1).astype(np.int64))
-                    found = np.concatenate(found)
+                if parts:
+                    found = np.stack([np.frombuffer(b"".join(p[c] for p in parts), np.uint32) for c in ("c0", "c1")], 1)
                     runs = merged(found[np.argsort(found[:, 0], kind="stable")])
                 kept = b"".join(data[x:y] for x, y in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(data)], strict=True)) if runs else data
                 if digest:
@@ -395,5 +393,5 @@ def remove_repeats(docs: DataFrame, depth: int = 50, digest: bool = True) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=names)
 
     schema = RESULT if digest else "doc_id long, kept binary, spans array<struct<start:long,end:long>>"
-    loose = text_column(docs).filter("doc_id is null").select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<binary>").alias("closed"), F.lit(None).cast("array<struct<c0:binary,c1:binary>>").alias("spans"))
+    loose = text_column(docs).filter("doc_id is null").select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<struct<c0:binary,c1:binary>>").alias("spans"))
     return find_repeats(docs, depth).unionByName(loose).mapInArrow(cut, schema)
