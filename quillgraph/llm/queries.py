@@ -77,4 +77,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_packing, op4_html_text, op5_secret_scan, op6_decontaminate, op7_suffix_dedup, op8_quality_rules, op9_jaccard_join, op10_token_counts)
 }
 
-ORACLES: dict[str, str] = {}
+_CONTROL = r"\\\\|<</SYS>>|\[/INST\]|<<SYS>>|\[INST\]|</s>|<s>|<\|"
+_CHAT_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {CONTROL_CONVERSATION}, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT {CONTROL_CONVERSATION}, 1, 'assistant', '{CONTROL_TEXT}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) + length(text) + len(regexp_extract_all(text, '{_CONTROL}'))) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS expanded_tokens
+FROM c GROUP BY conv_id"""
+
+
+def _secrets_sql() -> str:
+    quoted = [(i, r, r.pattern.replace("'", "''")) for i, r in enumerate(secret_scan.RULES)]
+    matches = " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {r.group}) AS g, string_split_regex(t, '{p}') AS gap FROM d WHERE regexp_matches(t, '{p}')" for i, r, p in quoted)
+    total = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    base = f"coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < {len(secret_scan.BASE_RULES)}), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({matches}),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+spans AS (SELECT doc_id, rank, kind, CAST({total.format("gap[1:i]")} + {total.format("m[1:i-1]")} AS BIGINT) AS a, CAST({total.format("gap[1:i]")} + {total.format("m[1:i]")} AS BIGINT) AS b FROM each WHERE length(g[i]) >= least)
+SELECT doc_id, {counts}, sha256({base}) AS base_sha256, coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank), '') AS spans FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
+
+
+ORACLES: dict[str, str] = {"op1_chat_format": _CHAT_SQL, "op5_secret_scan": _secrets_sql()}
