@@ -125,6 +125,8 @@ def _scan(docs: DataFrame, block: list[tuple[int, str]], piece: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        if not block:
+            return
         items = [Item(i, t, piece) for i, t in block]
         by: dict[str, list[tuple[int, int, int]]] = {}
         for n, item in enumerate(items):
