@@ -8,9 +8,11 @@ Of these, candidates come from a rare-first order, and a candidate pair must the
 orders before the sets are compared. The rare-first orders rest on a counting sketch of fixed size: as any order is
 correct, a coarse one only costs time.
 
-Documents with equal sets are one node. Groups of nodes behind a common token are not expanded into all pairs: the
-group's members first meet a few hubs, the verified links make components, and only pairs across components are
-compared after that. Sets are compared exactly (as sorted 64-bit token hashes).
+Documents with equal sets are one node. Where nodes meet behind a common token, two bounds discard pairs before they are
+emitted: the sizes', and that of parity bitmaps, whose distance is never more than that of the sets. Members of a large
+group then meet along a forest over the components known so far: a pair that passes the bounds stands for all others
+between the two components, until it is compared. Rounds of that leave few components, and all pairs across these that
+pass the bounds are compared in the end. Sets are compared exactly (as sorted 64-bit token hashes).
 
 Nulls: a null text is empty, and empty texts link with nothing. A null doc_id is carried and never an id of a component.
 Repeated rows are equal sets. An empty table gives no rows. Other columns are ignored.
@@ -35,10 +37,12 @@ SHARE = 4
 MOST_SENT = 1 << 20
 #: Orders after the first differ in how they break ties.
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
-#: Groups of more nodes meet through hubs first.
+#: Words of 64 bits in a parity bitmap.
+WIDTH = 8
+#: Groups of more nodes meet along forests first.
 SMALL_GROUP = 16
-#: Rounds of meeting hubs before all pairs across components are compared.
-HUB_ROUNDS = 2
+#: Rounds of meeting along forests before all pairs across components are compared.
+FOREST_ROUNDS = 3
 
 
 def token_sets(texts: list[str], words: int) -> list[np.ndarray]:
@@ -84,6 +88,39 @@ def levels(sketch: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(sketch / noise, 1))).astype(np.uint8)
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap in which each token flips one bit: two sets' bitmaps differ in no more bits than the sets in tokens."""
+    bits = np.bincount((mix64(tokens) >> np.uint64(40)).astype(np.int64) % (64 * WIDTH), minlength=64 * WIDTH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
+def near(sizes: np.ndarray, bits: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Which members behind the i-th of a group (sorted by size) the bounds allow to link with it."""
+    end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
+    apart = np.bitwise_count(bits[i + 1 : end] ^ bits[i]).sum(1, dtype=np.int64)
+    return i + 1 + np.flatnonzero(apart * (100 + percent) <= (sizes[i + 1 : end] + sizes[i]) * (100 - percent))
+
+
+def all_pairs(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, components: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs across components that pass the bounds; the group is sorted by size."""
+    for i in range(len(nodes)):
+        for j in (x := near(sizes, bits, i, percent))[components[x] != components[i]].tolist():
+            yield int(nodes[i]), int(nodes[j])
+
+
+def forest(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, components: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Of those pairs, so many that they connect what all of them would."""
+    label = np.unique(components, return_inverse=True)[1]
+    for i in range(len(nodes)):
+        x = near(sizes, bits, i, percent)
+        x = x[label[x] != label[i]]
+        if len(x):
+            other, at = np.unique(label[x], return_index=True)
+            for j in x[at].tolist():
+                yield int(nodes[i]), int(nodes[j])
+            label[np.isin(label, other)] = label[i]
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = sorted((len(a), len(b)))
     if 100 * small < percent * large:
@@ -217,30 +254,8 @@ def sketch_of(sets: DataFrame) -> np.ndarray:
 PAIRS = "a long, b long"
 
 
-def _hub_pairs(nodes: np.ndarray, sizes: np.ndarray, percent: int, turn: int) -> list[tuple[int, int]]:
-    """Each member of a group (sorted by size) with the hub of its run of comparable sizes."""
-    out, at = [], 0
-    while at < len(nodes):
-        end = int(np.searchsorted(sizes, sizes[at] * 100 // percent, "right"))
-        run = nodes[at:end]
-        hub = run[min(len(run) - 1, (len(run) * (turn + 1)) // (HUB_ROUNDS + 1))]
-        out += [(int(hub), int(x)) for x in run if x != hub]
-        if end < len(nodes):  # runs meet at their edge
-            out.append((int(hub), int(nodes[end])))
-        at = end
-    return out
-
-
-def _all_pairs(nodes: np.ndarray, sizes: np.ndarray, components: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of comparable size across components; the group is sorted by size."""
-    for i in range(len(nodes)):
-        end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-        for j in i + 1 + np.flatnonzero(components[i + 1 : end] != components[i]):
-            yield int(nodes[i]), int(nodes[j])
-
-
 def candidates(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """Rows of kind 0 (pair a, b) and of kind 1 (group a, node b, size n): the large groups, for later rounds.
+    """Rows of kind 0 (pair a, b) and of kind 1 (group a, node b, size n, bits): the large groups, for later rounds.
 
     Prefix tokens travel packed, a row for each batch and bucket; a bucket's groups are made in one task at a time.
     """
@@ -254,49 +269,46 @@ def candidates(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                 prefixes = [prefix(x, sent.value, 0, percent) for x in found]
                 n = [len(p) for p in prefixes]
                 t = np.concatenate(prefixes)
-                yield _rows_by((t >> np.uint64(20)) % np.uint64(buckets), [t, np.repeat(np.array(b["node"].to_pylist()), n), np.repeat(np.array([len(x) for x in found], np.int32), n)])
+                rest = (np.array(b["node"].to_pylist()), np.array([len(x) for x in found], np.int32), np.stack([parity(x) for x in found]))
+                yield _rows_by((t >> np.uint64(20)) % np.uint64(buckets), [t, *(np.repeat(x, n, axis=0) for x in rest)])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, v, n in _by_bucket(batches, (np.uint64, np.int64, np.int32)):
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        for t, v, n, bits in _by_bucket(batches, (np.uint64, np.int64, np.int32, np.uint64)):
             order = np.lexsort((v, n, t))
-            t, v, n = t[order], v[order], n[order]
+            t, v, n, bits = t[order], v[order], n[order].astype(np.int64), bits.reshape(-1, WIDTH)[order]
             edges = np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t))
             size = np.diff(edges)
             pairs: set[tuple[int, int]] = set()
-            large: list[tuple[int, int, int]] = []
+            large: list[tuple] = []
             for i in np.flatnonzero(size > 1).tolist():
                 g = slice(edges[i], edges[i + 1])
                 if size[i] <= SMALL_GROUP:
-                    pairs.update((min(p), max(p)) for p in _all_pairs(v[g], n[g], np.arange(size[i]), percent))
+                    pairs.update((min(p), max(p)) for p in all_pairs(v[g], n[g], bits[g], np.arange(size[i]), percent))
                 else:
-                    pairs.update(_hub_pairs(v[g], n[g], percent, 0))
-                    large += [(int(t[g.start].view(np.int64)), a, b) for a, b in zip(v[g].tolist(), n[g].tolist(), strict=True)]
-            rows = [(0, a, b, None) for a, b in pairs] + [(1, *x) for x in large]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["kind", "a", "b", "n"])
+                    token = int(t[g.start].view(np.int64))
+                    large += [(1, token, a, b, raw.tobytes()) for a, b, raw in zip(v[g].tolist(), n[g].tolist(), bits[g], strict=True)]
+            rows = [(0, a, b, None, None) for a, b in pairs] + large
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["kind", "a", "b", "n", "bits"])
 
-    packed = sets.mapInArrow(emit, "bucket int, c0 binary, c1 binary, c2 binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "kind int, a long, b long, n int")
+    packed = sets.mapInArrow(emit, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "kind int, a long, b long, n int, bits binary")
 
 
-def across(groups: DataFrame, components: DataFrame, percent: int, turn: int | None) -> DataFrame:
-    """Pairs of large groups between nodes that are not yet connected: through hubs, or all (``turn`` None)."""
+def across(groups: DataFrame, components: DataFrame, percent: int, last: bool) -> DataFrame:
+    """Pairs of large groups between nodes that are not yet connected: along forests, or all that pass the bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            c, n, v = (np.array(x) for x in zip(*rows, strict=True))
-            if turn is None:
-                order = np.lexsort((v, n))
-                found = list(_all_pairs(v[order], n[order], c[order], percent)) if len(set(c.tolist())) > 1 else []
-            else:  # one member speaks for each component
-                order = np.lexsort((v, n, c))
-                order = order[np.append(True, c[order][1:] != c[order][:-1])]
-                order = order[np.lexsort((v[order], n[order]))]
-                found = _hub_pairs(v[order], n[order], percent, turn) if len(order) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+        def pairs(rows: list[tuple]) -> pa.RecordBatch:
+            component, n, node, bits = zip(*rows, strict=True)
+            component, n, node, bits = np.array(component), np.array(n, np.int64), np.array(node), np.frombuffer(b"".join(bits), np.uint64).reshape(-1, WIDTH)
+            order = np.lexsort((node, n))
+            found = {(min(p), max(p)) for p in (all_pairs if last else forest)(node[order], n[order], bits[order], component[order], percent)}
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
         current, held = None, []
         for b in batches:
-            for group, *rest in zip(*(b[x].to_pylist() for x in ("g", "component", "n", "node")), strict=True):
+            for group, *rest in zip(*(b[x].to_pylist() for x in ("g", "component", "n", "node", "bits")), strict=True):
                 if group != current and held:
                     yield pairs(held)
                     held = []
@@ -305,9 +317,9 @@ def across(groups: DataFrame, components: DataFrame, percent: int, turn: int | N
         if held:
             yield pairs(held)
 
-    placed = groups.select(F.col("a").alias("g"), F.col("b").alias("node"), "n").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = groups.select(F.col("a").alias("g"), F.col("b").alias("node"), "n", "bits").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = placed.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g")
-    rows = placed.join(apart, "g", "left_semi").select("g", "component", "n", "node").repartition("g").sortWithinPartitions("g")
+    rows = placed.join(apart, "g", "left_semi").select("g", "component", "n", "node", "bits").repartition("g").sortWithinPartitions("g")
     return rows.mapInArrow(run, PAIRS)
 
 
@@ -349,8 +361,8 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFr
     pairs = written(met.filter("kind = 0").select("a", "b").distinct(), "pairs")
     links = written(verify(sets, pairs, sketch, percent), "links")
     components = written(connected_components(links), "components")
-    for turn in [*range(1, HUB_ROUNDS), None]:
-        more = written(across(groups, components, percent, turn).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    for turn in range(FOREST_ROUNDS + 1):
+        more = written(across(groups, components, percent, turn == FOREST_ROUNDS).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
         new = written(verify(sets, more, sketch, percent), "links")
