@@ -28,6 +28,8 @@ ORDER, BITS = 3, 7
 CHUNK = 2_000_000
 #: An upper bound on a model's n-grams, all languages together, for broadcasting it (16 bytes each).
 MOST_NGRAMS = 1 << 23
+#: Bands of up to so many languages are sent to all executors, and joined beyond that.
+MOST_LANGUAGES = 10_000
 
 
 def fold_table() -> np.ndarray:
@@ -290,5 +292,7 @@ def bands(measured: DataFrame, widen: float) -> DataFrame:
 def judge(docs: DataFrame, widen: float = 2.0) -> DataFrame:
     """doc_id, MEASURES, low, high and kept for every document."""
     measured = written(measure(docs, load(fit(docs))), "measured")
+    limits = written(bands(measured, widen), "bands")
+    few = limits.count() <= MOST_LANGUAGES
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return measured.join(bands(measured, widen), "language", "left").withColumn("kept", kept)
+    return measured.join(limits.hint("broadcast") if few else limits, "language", "left").withColumn("kept", kept)
