@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import journal
 from ..operators.merge import Resolver, field_level, resolve_changes
+from ..plans.lineage import cut
 from ..store import GraphStore
 from ..types import JOURNAL, schema
 
@@ -141,13 +142,17 @@ class Coordinator:
         return state.select("entity_kind", "entity_id", F.col("payload.properties").alias("properties"), (F.col("operation") == journal.DELETE).alias("deleted"), "revision", "payload")
 
     def _apply(self, changes: DataFrame) -> None:
-        """Journals the outcome under the remote actor, so that it is not pushed back."""
+        """Applies a batch in waves, each with one change of an entity at most, in the log's order."""
+        fresh = journal.append_new(self.store.journal(), changes)
+        order = Window.partitionBy("entity_kind", "entity_id").orderBy("position")
+        waves = cut(fresh.withColumn("wave", F.row_number().over(order)))
+        for wave in range(1, (waves.agg(F.max("wave")).first()[0] or 0) + 1):
+            self._apply_wave(waves.filter(F.col("wave") == wave).drop("wave"))
+
+    def _apply_wave(self, changes: DataFrame) -> None:
+        """Journals the outcome under the remote actor, so that it is not pushed back; a merge becomes a change of its own."""
         known = self.store.journal()
-        fresh = journal.append_new(known, changes.drop("position"))
-        if fresh.isEmpty():
-            return
-        remote = fresh.groupBy("entity_kind", "entity_id").agg(F.max_by(F.struct(*fresh.columns), "sequence").alias("r"), F.min_by("base_revision", "sequence").alias("from"))
-        rows = remote.select("entity_kind", "entity_id", F.col("r.payload.properties").alias("properties"), (F.col("r.operation") == journal.DELETE).alias("deleted"), F.col("r.revision").alias("revision"), "from", "r")
+        rows = changes.select("entity_kind", "entity_id", F.col("payload.properties").alias("properties"), (F.col("operation") == journal.DELETE).alias("deleted"), "revision", F.col("base_revision").alias("from"), F.struct(*changes.columns).alias("r"))
         local = self._side(journal.fold(known))
         held = known.select("entity_kind", "entity_id", F.col("payload.properties").alias("properties"), (F.col("operation") == journal.DELETE).alias("deleted"), "revision")
         base = held.join(rows.select("entity_kind", "entity_id", F.col("from").alias("wanted")), ["entity_kind", "entity_id"]).filter(F.col("revision").eqNullSafe(F.col("wanted"))).drop("wanted").dropDuplicates(["entity_kind", "entity_id"])
@@ -156,7 +161,7 @@ class Coordinator:
         outcome = decided.join(mine, ["entity_kind", "entity_id"], "left").collect()  # one batch of bounded size
         out, top = [], known.agg(F.max("sequence")).first()[0] or 0
         names = schema(JOURNAL).fieldNames()
-        for row in sorted(outcome, key=lambda x: x["r"]["sequence"]):
+        for row in sorted(outcome, key=lambda x: x["r"]["position"]):
             d = row.asDict(recursive=True)
             action, change = d["resolution"]["action"], d["r"]
             self.status.pulled += 1
