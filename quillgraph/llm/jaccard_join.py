@@ -31,8 +31,6 @@ from .common import ascii_lower, mix64, shuffle_partitions, text_column, written
 from .components import connected_components
 
 SKETCH, CHUNKS = 1 << 20, 64
-#: One token hash in so many is counted exactly.
-SHARE = 4
 #: Ids of kept documents are sent to all executors up to this number (8 bytes each), and joined beyond it.
 MOST_SENT = 1 << 20
 #: Orders after the first differ in how they break ties.
@@ -170,7 +168,12 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], types: tuple) -> Iterator[list
         yield arrays()
 
 
-def lone_tokens(docs: DataFrame, words: int) -> DataFrame:
+def counted_share(percent: int) -> int:
+    """One token hash in so many is counted: at least twice the part of its tokens that lets a set out."""
+    return max(1, 40 // (100 - percent)) if percent < 100 else 40
+
+
+def lone_tokens(docs: DataFrame, words: int, share: int) -> DataFrame:
     """(node, lone): how many of a node's counted tokens no other node has; nodes without any are missing."""
     n = shuffle_partitions(docs.sparkSession)
 
@@ -180,7 +183,7 @@ def lone_tokens(docs: DataFrame, words: int) -> DataFrame:
             if sets:
                 node = np.repeat(np.array([node_of(s) for s in sets]), [len(s) for s in sets])
                 t = np.concatenate(sets)
-                counted = t % np.uint64(SHARE) == 0
+                counted = mix64(t) % np.uint64(share) == 0
                 t, node = t[counted] >> np.uint64(8), node[counted]
                 yield _rows_by((t & np.uint64(0xFFFF)) % np.uint64(n), [node, np.ascontiguousarray((t >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])])
 
@@ -218,7 +221,7 @@ def possible_sets(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -
 
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     keepers = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    keepers = written(keepers.join(lone_tokens(docs, words), "node", "left").filter(F.coalesce("lone", F.lit(0)) < need).select("doc_id", "node"), "keepers")
+    keepers = written(keepers.join(lone_tokens(docs, words, counted_share(percent)), "node", "left").filter(F.coalesce("lone", F.lit(0)) < need).select("doc_id", "node"), "keepers")
     few = keepers.count() <= MOST_SENT
     texts = text_column(docs).join(keepers.hint("broadcast" if few else "shuffle_hash"), "doc_id").select("node", "text")
     return written(texts.mapInArrow(sets, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "tokens")
