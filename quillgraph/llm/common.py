@@ -41,6 +41,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A written table for the small side of a join: sent to all executors up to ``most`` rows, hashed beyond that."""
+    return df.hint("broadcast" if df.count() <= most else "shuffle_hash")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
