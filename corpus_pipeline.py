@@ -10,33 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontaminate, jaccard_join, packing, quality_rules, secret_scan
-from quillgraph.llm.common import table, written
+from quillgraph.llm.common import beside, table, written
 from quillgraph.llm.queries import vocabulary
 
 
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """The documents whose doc_id is not in ``gone``; documents without a doc_id stay."""
+    return docs.join(beside(written(gone.select("doc_id").distinct(), name)), "doc_id", "left_anti").select(docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    kept = quality_rules.judge(docs.select("doc_id", "text", "lang")).filter("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    return without(docs, quality_rules.judge(docs.select("doc_id", "text", "lang")).filter(~F.col("kept")), "rejected")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least doc_id: five words, similarity 0.8."""
-    groups = jaccard_join.join_documents(docs, words=5, percent=80)
-    return docs.join(groups.filter("component_id = doc_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    return without(docs, jaccard_join.join_documents(docs, words=5, percent=80).filter("component_id <> doc_id"), "copies")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(written(found, "leaks"), "doc_id", "left_anti")
+    return without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")), "leaks")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret's characters are masked; n_chars stays right, as a mask has as many characters."""
-    addresses, findings, _ = secret_scan.scan(docs.select(F.col("doc_id").alias("path"), "text"))
-    spans = addresses.select("path", "blob").distinct().join(findings, "blob").select(F.col("path").alias("doc_id"), "found")
-    return secret_scan.mask(docs.join(spans, "doc_id", "left"), "text", "found").select(docs.columns)
+    _, findings, _ = secret_scan.scan(docs.select(F.col("doc_id").alias("path"), "text"))
+    blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    found = docs.withColumn("_blob", blob).join(beside(written(findings.select(F.col("blob").alias("_blob"), F.col("found").alias("_found")), "findings"), 100_000), "_blob", "left")
+    return secret_scan.mask(found, "text", "_found").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
