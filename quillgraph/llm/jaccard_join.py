@@ -35,8 +35,8 @@ SKETCH, CHUNKS = 1 << 20, 64
 MOST_SENT = 1 << 20
 #: Orders after the first differ in how they break ties.
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
-#: Words of 64 bits in a parity bitmap.
-WIDTH = 8
+#: Words of 64 bits in a parity bitmap, and in the one that the last round compares by.
+WIDTH, WIDE = 8, 32
 #: Groups of more nodes meet along forests first.
 SMALL_GROUP = 16
 #: Rounds of meeting along forests before all pairs across components are compared.
@@ -86,9 +86,9 @@ def levels(sketch: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(sketch / noise, 1))).astype(np.uint8)
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
+def parity(tokens: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """A bitmap in which each token flips one bit: two sets' bitmaps differ in no more bits than the sets in tokens."""
-    bits = np.bincount((mix64(tokens) >> np.uint64(40)).astype(np.int64) % (64 * WIDTH), minlength=64 * WIDTH) & 1
+    bits = np.bincount((mix64(tokens) >> np.uint64(40)).astype(np.int64) % (64 * width), minlength=64 * width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
@@ -211,20 +211,20 @@ def lone_tokens(docs: DataFrame, words: int, share: int) -> DataFrame:
 
 
 def possible_sets(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, tokens) of the nodes that may have a link at all."""
+    """(node, tokens, wide) of the nodes that may have a link at all; ``wide`` is a parity bitmap."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = token_sets(b["text"].to_pylist(), words)
             keep = [i for i, (s, node) in enumerate(zip(found, b["node"].to_pylist(), strict=True)) if len(s) and node_of(s) == node]
-            yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(keep, pa.int64())), _bytes([found[i].tobytes() for i in keep])], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(keep, pa.int64())), _bytes([found[i].tobytes() for i in keep]), _bytes([parity(found[i], WIDE).tobytes() for i in keep])], names=["node", "tokens", "wide"])
 
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     keepers = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     keepers = written(keepers.join(lone_tokens(docs, words, counted_share(percent)), "node", "left").filter(F.coalesce("lone", F.lit(0)) < need).select("doc_id", "node"), "keepers")
     few = keepers.count() <= MOST_SENT
     texts = text_column(docs).join(keepers.hint("broadcast" if few else "shuffle_hash"), "doc_id").select("node", "text")
-    return written(texts.mapInArrow(sets, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "tokens")
+    return written(texts.mapInArrow(sets, "node long, tokens binary, wide binary").groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("wide").alias("wide")), "tokens")
 
 
 def sketch_of(sets: DataFrame) -> np.ndarray:
@@ -298,13 +298,16 @@ def candidates(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "kind int, a long, b long, n int, bits binary")
 
 
-def across(groups: DataFrame, components: DataFrame, percent: int, last: bool) -> DataFrame:
-    """Pairs of large groups between nodes that are not yet connected: along forests, or all that pass the bounds."""
+def across(groups: DataFrame, components: DataFrame, sets: DataFrame, percent: int, last: bool) -> DataFrame:
+    """Pairs of large groups between nodes that are not yet connected: along forests, or all that pass the bounds.
+
+    The last round bounds by the wide bitmaps.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: list[tuple]) -> pa.RecordBatch:
             component, n, node, bits = zip(*rows, strict=True)
-            component, n, node, bits = np.array(component), np.array(n, np.int64), np.array(node), np.frombuffer(b"".join(bits), np.uint64).reshape(-1, WIDTH)
+            component, n, node, bits = np.array(component), np.array(n, np.int64), np.array(node), np.frombuffer(b"".join(bits), np.uint64).reshape(len(node), -1)
             order = np.lexsort((node, n))
             found = {(min(p), max(p)) for p in (all_pairs if last else forest)(node[order], n[order], bits[order], component[order], percent)}
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
@@ -322,7 +325,10 @@ def across(groups: DataFrame, components: DataFrame, percent: int, last: bool) -
 
     placed = groups.select(F.col("a").alias("g"), F.col("b").alias("node"), "n", "bits").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = placed.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g")
-    rows = placed.join(apart, "g", "left_semi").select("g", "component", "n", "node", "bits").repartition("g").sortWithinPartitions("g")
+    rows = placed.join(apart, "g", "left_semi")
+    if last:
+        rows = rows.drop("bits").join(sets.select("node", F.col("wide").alias("bits")), "node")
+    rows = rows.select("g", "component", "n", "node", "bits").repartition("g").sortWithinPartitions("g")
     return rows.mapInArrow(run, PAIRS)
 
 
@@ -346,8 +352,9 @@ def verify(sets: DataFrame, pairs: DataFrame, sketch: np.ndarray, percent: int)
                     out.append((a, partner))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    hubs = sets.join(pairs.select("a").distinct(), F.col("node") == F.col("a"), "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
-    partners = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", "tokens")
+    tokens = sets.select("node", "tokens")
+    hubs = tokens.join(pairs.select("a").distinct(), F.col("node") == F.col("a"), "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+    partners = pairs.join(tokens.withColumnRenamed("node", "b"), "b").select("a", "b", "tokens")
     return hubs.unionByName(partners).repartition("a").sortWithinPartitions(F.col("a"), F.col("b").asc_nulls_first()).mapInArrow(compare, PAIRS)
 
 
@@ -365,7 +372,7 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFr
     links = written(verify(sets, pairs, sketch, percent), "links")
     components = written(connected_components(links), "components")
     for turn in range(FOREST_ROUNDS + 1):
-        more = written(across(groups, components, percent, turn == FOREST_ROUNDS).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = written(across(groups, components, sets, percent, turn == FOREST_ROUNDS).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
         new = written(verify(sets, more, sketch, percent), "links")
