@@ -1 +1 @@
-"""Package."""
+"""Traversals, paths, adjacency, the journal and merges."""

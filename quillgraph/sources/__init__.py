@@ -1 +1 @@
-"""Package."""
+"""Graphs over tables, and snapshots."""

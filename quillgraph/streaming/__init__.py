@@ -1 +1 @@
-"""Package."""
+"""Synchronising stores."""
