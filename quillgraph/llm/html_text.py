@@ -27,12 +27,13 @@ ARTICLE = frozenset("article main".split())
 CONTAINERS = FURNITURE | ARTICLE | frozenset("div section ul ol dl table figure details blockquote span td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role attributes that mark page furniture, and those that mark the article.
-FURNITURE_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright discussion disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+FURNITURE_WORDS = frozenset("ad adbox ads adsense adslot advert advertisement advertising advertisment alert backlink banner breadcrumb breadcrumbs comment commentlist comments consent contentinfo cookie cookies copyright cta disclaimer discussion disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted rail related replies reply respond responses search searchbox share sharing side sidebar signin signup sitemap social sponsor sponsored subnav subscribe tagcloud toolbar topbar topnav widget".split())
 ARTICLE_WORDS = frozenset("article post content entry story main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S | re.I)
 _MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -52,7 +53,8 @@ def _kind(tag: str, attributes: str) -> int:
     if attributes:
         if _HIDDEN.search(attributes):
             return 1
-        words = {w for m in _MARKS.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
+        marks = [m[1] or m[2] or m[3] or "" for m in _MARKS.finditer(attributes)]
+        words = {w for x in marks for y in (x, _CAMEL.sub(" ", x)) for w in re.split(r"[^a-z]+", y.lower())}
         if words & FURNITURE_WORDS:
             return 1
         if words & ARTICLE_WORDS:
