@@ -155,6 +155,8 @@ LABELLED = (
     (22, 0.0, 30, 0.9, 26, 0.0, 0, 1, 1), (3, 0.0, 25, 1.0, 40, 1.0, 0, 1, 1), (35, 0.9, 25, 0.8, 30, 1.0, 0, 1, 1),
     (2, 1.0, 2, 1.0, 60, 0.0, 0, 0, 0), (20, 0.9, 50, 0.0, 45, 0.0, 0, 0, 0), (1, 1.0, 1, 1.0, 30, 0.0, 0, 0, 0),
     (4, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0), (9, 0.8, 3, 1.0, 25, 0.0, 0, 0, 0), (3, 0.6, 8, 0.5, 15, 0.2, 0, 0, 0),
+    (20, 0.0, 5, 0.9, 80, 0.0, 1, 0, 0), (30, 0.9, 40, 0.0, 70, 0.0, 0, 0, 0), (12, 0.0, 3, 1.0, 120, 0.0, 1, 0, 0),
+    (40, 0.0, 90, 0.0, 90, 0.0, 1, 0, 0), (25, 0.7, 60, 0.0, 60, 0.0, 0, 0, 0), (50, 0.05, 55, 0.0, 65, 0.0, 0, 0, 1),
     (2, 1.0, 60, 0.0, 40, 0.0, 0, 1, 1), (30, 0.8, 6, 0.9, 20, 0.5, 0, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 1),
     (3, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0), (4, 0.0, 20, 0.9, 8, 0.2, 0, 0, 0), (6, 0.5, 9, 0.3, 7, 0.4, 0, 0, 0),
 )
