@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, mix64, shuffle_partitions, text_column, written
+from .common import ascii_lower, mix64, shuffle_partitions, slices, text_column, written
 from .components import connected_components
 
 SKETCH, CHUNKS = 1 << 20, 64
@@ -47,10 +47,10 @@ def token_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """Sorted distinct token hashes of each text: its shingles of so many words, or all its words as one if fewer."""
     import xxhash
 
-    split = [ascii_lower(t).encode().split() for t in texts]
     digest = xxhash.xxh3_64_intdigest
     out = []
-    for ws in split:
+    for t in texts:
+        ws = ascii_lower(t).encode().split()
         w = np.fromiter(map(digest, ws), np.uint64, len(ws))
         k = min(words, len(w))
         if not k:
@@ -135,7 +135,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, node) of every document; a document without words has no node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             sets = token_sets(b["text"].to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "node"])
 
@@ -178,7 +178,7 @@ def lone_tokens(docs: DataFrame, words: int, share: int) -> DataFrame:
     n = shuffle_partitions(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             sets = [s for s in token_sets(b["text"].to_pylist(), words) if len(s)]
             if sets:
                 node = np.repeat(np.array([node_of(s) for s in sets]), [len(s) for s in sets])
@@ -214,7 +214,7 @@ def possible_sets(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -
     """(node, tokens, wide) of the nodes that may have a link at all; ``wide`` is a parity bitmap."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             found = token_sets(b["text"].to_pylist(), words)
             keep = [i for i, (s, node) in enumerate(zip(found, b["node"].to_pylist(), strict=True)) if len(s) and node_of(s) == node]
             yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(keep, pa.int64())), _bytes([found[i].tobytes() for i in keep]), _bytes([parity(found[i], WIDE).tobytes() for i in keep])], names=["node", "tokens", "wide"])
@@ -266,7 +266,7 @@ def candidates(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     sent, buckets = spark.sparkContext.broadcast(sketch), shuffle_partitions(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, "tokens")):
             found = [np.frombuffer(x, np.uint64) for x in b["tokens"].to_pylist()]
             if found:
                 prefixes = [prefix(x, sent.value, 0, percent) for x in found]

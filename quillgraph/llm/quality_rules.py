@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import mix64, slices, written
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
 ORDER, BITS = 3, 7
@@ -122,7 +122,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     """(language, gram, n) over every text. Each batch is counted before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, size=16 << 20)):
             by: dict[str, list[str]] = {}
             for language, text in zip(b["language"].to_pylist(), b["text"].to_pylist(), strict=True):
                 by.setdefault(language, []).append(text)
@@ -267,7 +267,7 @@ def measure(docs: DataFrame, model: dict[str, list]) -> DataFrame:
     keep = [c for c in docs.columns if c == "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             texts, languages = b["text"].to_pylist(), b["language"].to_pylist()
             counts = base_counts(texts)
             scores = np.zeros(len(texts))

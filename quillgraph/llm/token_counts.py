@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_column
+from .common import slices, text_column
 
 RULES = ("start", "end", "majority")
 SCHEMA = "doc_id long, section long, start long, end long, n_tokens long, n_crossing long"
@@ -73,7 +73,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, rule: str = "majority") -> Da
         widths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             widths[rank] = len(token)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             ids: list[int | None] = []
             columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
