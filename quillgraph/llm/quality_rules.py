@@ -1,13 +1,16 @@
 """Quality rules: counts over words and lines, and an n-gram perplexity band per language.
 
-The language model is a character n-gram model with modified Kneser-Ney smoothing. Characters are folded into an
-alphabet of 128 symbols, so the counts of one language are at most 128 ** order rows, however large the corpus. Spark
-sums the counts that each task has pre-aggregated; the model of a language is three sorted arrays of n-gram hashes with
-their log probabilities. A document whose perplexity lies outside its language's band is rejected. A band is what the
+The language model is a character 5-gram model over code points as they are, with modified Kneser-Ney smoothing. Its
+n-grams have no bound but what the corpus holds. Spark sums the counts that each task has pre-aggregated, smooths them
+order by order in joins, and keeps the model as rows of hashed n-grams. A text is scored by the model of the other half
+of its language's texts (halves by hash, so exact copies are in one), as a high order would give a text's own n-grams
+back to it. The model is sent to all executors while it is small; beyond that, each block of texts is joined with the
+n-grams that occur in it. A document whose perplexity lies outside its language's band is rejected. A band is what the
 language's own quartiles span, widened by a factor of their distance.
 
-Nulls: a null text is empty (no words, so it fails the base rules), a null language is a language of its own. Repeated
-rows are judged apart. Texts of any length are read whole. An empty table gives no rows. Other columns pass through.
+Nulls: a null text is empty (no words, so it fails the base rules), a null language is a language of its own. A language
+with texts in one half only has no perplexity there (null), and no text of it is rejected for that. Repeated rows are
+judged apart. Texts of any length are read whole. An empty table gives no rows. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -15,19 +18,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, written
+from .common import beside, mix64, slices, written
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
+#: The small model in memory (``kneser_ney``) that the smoothing is tested on: symbols of 7 bits.
 ORDER, BITS = 3, 7
+#: Order of the model over code points, and how many code points there are.
+LONG, UNIVERSE = 5, 0x110000
 #: Texts that are scored together hold about so many characters.
 CHUNK = 2_000_000
-#: An upper bound on a model's n-grams, all languages together, for broadcasting it (16 bytes each).
+#: Models of up to so many n-grams, all languages together, are sent to all executors (16 bytes each), and joined beyond that.
 MOST_NGRAMS = 1 << 23
+#: Where the model is joined, a block of texts holds about so many characters.
+BLOCK = 16_000_000
+#: A task holds up to about so many n-grams while it counts.
+HELD = 1 << 21
 #: Bands of up to so many languages are sent to all executors, and joined beyond that.
 MOST_LANGUAGES = 10_000
 
@@ -118,22 +128,80 @@ def _language(docs: DataFrame):
     return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
 
 
+def pointed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each behind LONG - 1 bounds (0), and where each text begins. U+0000 in a text is read as U+0001."""
+    gap = "\0" * (LONG - 1)
+    points = np.frombuffer((gap + gap.join(t.replace("\0", "\1") for t in texts)).encode("utf-32-le"), np.uint32)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    return points, np.cumsum(lengths + LONG - 1) - lengths
+
+
+_POWERS = [pow(0x9E3779B97F4A7C15, m, 1 << 64) for m in range(LONG)]
+
+
+def hashed(mixed: np.ndarray, ends: slice | np.ndarray, k: int) -> np.ndarray:
+    """64-bit keys of the k-grams that end at ``ends``; ``mixed`` is mix64 of the code points plus one."""
+    at = (lambda m: mixed[ends.start - m : ends.stop - m]) if isinstance(ends, slice) else (lambda m: mixed[ends - m])
+    out = np.zeros(ends.stop - ends.start if isinstance(ends, slice) else len(ends), np.uint64)
+    for m in range(k):
+        out += at(m) * np.uint64(_POWERS[m])
+    return out
+
+
+def _mixed(points: np.ndarray) -> np.ndarray:
+    return mix64(points.astype(np.uint64) + np.uint64(1))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, counts and code points of several parts as one."""
+    keys, n, points = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    first = np.flatnonzero(np.append(True, keys[order[1:]] != keys[order[:-1]]))
+    return keys[order[first]], np.add.reduceat(n[order], first), points[order[first]]
+
+
+def modelled(docs: DataFrame) -> DataFrame:
+    """language, text, and the models that a text is counted in and scored by: its language with its half and the other."""
+    rows = docs.select(*(F.col(c).cast("long").alias(c) for c in docs.columns if c == "doc_id"), _language(docs).alias("language"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    return rows.withColumns({"own": F.concat(half.cast("string"), "language"), "other": F.concat((1 - half).cast("string"), "language")})
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(language, gram, n) over every text. Each batch is counted before anything is shuffled."""
+    """(model, gram, n) over every text. Each task counts before anything is shuffled."""
+
+    def rows_of(model: str, part: tuple) -> Iterator[pa.RecordBatch]:
+        _, n, points = part
+        for i in range(0, len(n), 100_000):
+            joined = points[i : i + 100_000].tobytes().decode("utf-32-le")
+            own = [joined[j : j + LONG] for j in range(0, len(joined), LONG)]
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(own), pa.string()), pa.array(own, pa.string()), pa.array(n[i : i + 100_000])], names=["model", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {}
         for b in (part for batch in batches for part in slices(batch, size=16 << 20)):
             by: dict[str, list[str]] = {}
-            for language, text in zip(b["language"].to_pylist(), b["text"].to_pylist(), strict=True):
-                by.setdefault(language, []).append(text)
-            for language, texts in by.items():
+            for model, text in zip(b["own"].to_pylist(), b["text"].to_pylist(), strict=True):
+                by.setdefault(model, []).append(text)
+            for model, texts in by.items():
                 for part in _chunks(texts):
-                    codes, _ = coded(texts[part])
-                    found, n = np.unique(grams(codes)[codes[ORDER - 1 :] > 0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([language] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], names=["language", "gram", "n"])
-
-    rows = docs.select(_language(docs).alias("language"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "language string, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+                    points, _ = pointed(texts[part])
+                    ends = np.flatnonzero(points[LONG - 1 :]) + LONG - 1
+                    if not len(ends):
+                        continue
+                    keys = hashed(_mixed(points), slice(LONG - 1, len(points)), LONG)[ends - LONG + 1]
+                    keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+                    held.setdefault(model, []).append((keys, n, np.stack([points[ends[first] - m] for m in range(LONG - 1, -1, -1)], axis=1)))
+            if sum(len(x[0]) for own in held.values() for x in own) > HELD:
+                held = {model: [_summed(own)] for model, own in held.items()}
+                if sum(len(own[0][0]) for own in held.values()) > HELD // 2:
+                    for model, own in held.items():
+                        yield from rows_of(model, own[0])
+                    held = {}
+        for model, own in held.items():
+            yield from rows_of(model, _summed(own))
+
+    return modelled(docs).select("own", "text").mapInArrow(run, "model string, gram string, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(gram: np.ndarray, n: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -207,79 +275,161 @@ def dense(model: list) -> np.ndarray:
     return out
 
 
-_tables: dict[tuple[int, str], tuple[list, np.ndarray]] = {}
-
+MODEL = "model string, key long, p float, backoff float"
 
-def _dense_of(model: dict[str, list], language: str) -> np.ndarray | None:
-    """The dense table of a language, kept by the worker for its next tasks (8 MB each, at most 8 of them)."""
-    if language not in model:
-        return None
-    own, key = model[language], (id(model), language)
-    if key not in _tables or _tables[key][0] is not own:
-        while len(_tables) >= 8:
-            _tables.pop(next(iter(_tables)))
-        _tables[key] = own, dense(own)
-    return _tables[key][1]
 
+def _discounts(counts: DataFrame) -> DataFrame:
+    """(model, d1, d2, d3): what Kneser-Ney takes off the counts 1, 2 and from 3, by the counts of counts."""
+    of = counts.groupBy("model").agg(*(F.greatest(F.sum((F.col("n") == i).cast("double")), F.lit(1.0)).alias(f"of{i}") for i in range(1, 5)))
+    y = F.col("of1") / (F.col("of1") + 2 * F.col("of2"))
+    d = [F.least(F.greatest(i - (i + 1) * y * F.col(f"of{i + 1}") / F.col(f"of{i}"), F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}") for i in (1, 2, 3)]
+    return of.select("model", *d)
 
-def perplexities(texts: list[str], table: np.ndarray | None) -> np.ndarray:
-    """Mean negative log probability by character (the log of the perplexity); 0 for empty texts."""
-    out = np.zeros(len(texts))
-    for part in _chunks(texts) if table is not None else ():
-        codes, starts = coded(texts[part])
-        sums = np.concatenate([[0], np.cumsum(table[grams(codes)], dtype=np.float64)])
-        n = np.fromiter(map(len, texts[part]), np.int64)
-        at = starts - ORDER + 1
-        out[part] = -(sums[at + n] - sums[at]) / np.maximum(n, 1)
-    return out
 
+def fit(docs: DataFrame) -> DataFrame:
+    """The model as MODEL rows: log probability (NaN for what is only a context) and log back-off weight of each n-gram.
 
-MODEL = "language string, k int, grams binary, p binary, backoff binary"
+    Every order is smoothed by joins with its contexts and the order below; the key of the empty context is 0.
+    """
+    counts = {LONG: written(count_ngrams(docs), "ngrams")}
+    for k in range(LONG - 1, 0, -1):  # continuation counts: the distinct symbols before
+        counts[k] = written(counts[k + 1].groupBy("model", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), "ngrams")
+    below: DataFrame | None = None
+    probabilities, contexts = {}, {}
+    for k in range(1, LONG + 1):
+        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        own = counts[k].join(beside(written(_discounts(counts[k]), "discounts")), "model").select("model", "gram", "n", d.alias("d"), F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("lower"))
+        weights = contexts[k - 1] = written(own.groupBy("model", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma")), "contexts")
+        rows = own.join(weights, ["model", "context"])
+        rows = rows.withColumn("p_lower", F.lit(1 / UNIVERSE)) if below is None else rows.join(below.select("model", F.col("gram").alias("lower"), F.col("p").alias("p_lower")), ["model", "lower"])
+        below = probabilities[k] = written(rows.select("model", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("p_lower")).alias("p")), "probabilities")
+    logs = None
+    for k in range(LONG + 1):
+        p = probabilities[k].select("model", "gram", F.log("p").alias("p")) if k else None
+        w = contexts[k].select("model", F.col("context").alias("gram"), F.log("gamma").alias("backoff")) if k < LONG else None
+        both = p.withColumn("backoff", F.lit(0.0)) if w is None else w.select("model", "gram", F.lit(None).cast("double").alias("p"), "backoff") if p is None else p.join(w, ["model", "gram"], "full")
+        logs = both if logs is None else logs.unionByName(both)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams_ = b["gram"].to_pylist()
+            lengths = np.fromiter(map(len, grams_), np.int64, len(grams_))
+            mixed, ends, keys = _mixed(np.frombuffer("".join(grams_).encode("utf-32-le"), np.uint32)), np.cumsum(lengths) - 1, np.zeros(len(grams_), np.uint64)
+            for k in range(1, LONG + 1):
+                keys[lengths == k] = hashed(mixed, ends[lengths == k], k)
+            yield pa.RecordBatch.from_arrays([b["model"], pa.array(keys.view(np.int64)), b["p"], b["backoff"]], names=["model", "key", "p", "backoff"])
+
+    logs = logs.select("model", "gram", F.coalesce("p", F.lit(float("nan"))).cast("float").alias("p"), F.coalesce("backoff", F.lit(0.0)).cast("float").alias("backoff"))
+    return written(logs.mapInArrow(keyed, MODEL), "model")
+
+
+Arrays = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def arrays(rows: pa.Table) -> dict[str, Arrays]:
+    """Of each model, its sorted keys and what belongs to them."""
+    out: dict[str, Arrays] = {}
+    coded_ = pc.dictionary_encode(pa.chunked_array(rows["model"].chunks, pa.string())).combine_chunks()
+    which = coded_.indices.to_numpy(zero_copy_only=False)
+    keys, p, backoff = (rows[c].to_numpy() for c in ("key", "p", "backoff"))
+    keys = keys.view(np.uint64)
+    for i, name in enumerate(coded_.dictionary.to_pylist()):
+        own = np.flatnonzero(which == i)
+        own = own[np.argsort(keys[own])]
+        out[name] = keys[own], p[own], backoff[own]
+    return out
 
 
-def fit(docs: DataFrame) -> DataFrame:
-    """The model as rows: language, order, and the sorted arrays. One language's counts have a fixed bound."""
+def perplexities(texts: list[str], model: Arrays | None) -> np.ndarray:
+    """Mean negative log probability by character (the log of the perplexity); 0 for empty texts, NaN without a model."""
+    out = np.full(len(texts), np.nan)
+    if model is not None:
+        for part in _chunks(texts):
+            out[part] = _perplexities(texts[part], model)
+    out[[not t for t in texts]] = 0
+    return out
 
-    def one(counts: pd.DataFrame) -> pd.DataFrame:
-        model = kneser_ney(counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
-        return pd.DataFrame([(counts["language"].iloc[0], k, *(x.tobytes() for x in part)) for k, part in enumerate(model)], columns=["language", "k", "grams", "p", "backoff"])
 
-    return written(written(count_ngrams(docs), "ngrams").groupBy("language").applyInPandas(one, MODEL), "model")
+def _perplexities(texts: list[str], model: Arrays) -> np.ndarray:
+    keys, p, backoff = model
+    points, starts = pointed(texts)
+    mixed = _mixed(points)
+    logs = np.zeros(len(points))
+    ends: slice | np.ndarray = slice(LONG - 1, len(points))
+    open_ = np.arange(LONG - 1, len(points))
+    for k in range(LONG, -1, -1):  # backs off where an n-gram was never seen; order 0 is the empty context
+        want = hashed(mixed, ends, k)
+        i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        hit = (keys[i] == want) & ~np.isnan(p[i])
+        logs[open_[hit]] += p[i[hit]]
+        open_ = ends = open_[~hit]
+        if k:
+            want = hashed(mixed, open_ - 1, k - 1)
+            i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            logs[open_] += np.where(keys[i] == want, backoff[i], 0)
+    logs[open_] -= np.log(UNIVERSE)
+    sums = np.concatenate([[0], np.cumsum(logs)])
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    return -(sums[starts + n] - sums[starts]) / np.maximum(n, 1)
 
 
-def load(model: DataFrame) -> dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """The model's arrays, for sending to the workers, after a check of their size."""
-    size = model.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
-    if size > 4 * MOST_NGRAMS:
-        raise ValueError(f"a model of {size // 4} n-grams is too large to send to every worker; fit fewer languages at once")
-    out: dict[str, list] = {}
-    for r in sorted(model.collect(), key=lambda r: r["k"]):
-        out.setdefault(r["language"], []).append((np.frombuffer(r["grams"], np.uint32), np.frombuffer(r["p"], np.float32), np.frombuffer(r["backoff"], np.float32)))
-    return out
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, language string, log_perplexity double"
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, language string, log_perplexity double"
+def _measured(b: pa.RecordBatch, models: dict[str, Arrays], keep: list[str]) -> pa.RecordBatch:
+    texts, others = b["text"].to_pylist(), b["other"].to_pylist()
+    counts = base_counts(texts)
+    scores = np.zeros(len(texts))
+    for model in set(others):
+        own = [i for i, x in enumerate(others) if x == model]
+        scores[own] = perplexities([texts[i] for i in own], models.get(model))
+    columns = [pa.array(c) for c in counts.T]
+    failed = pa.array(base_failed(counts[:, 0], counts[:, 4]))
+    return pa.RecordBatch.from_arrays([*(b[c] for c in keep), *columns, failed, b["language"], pa.array(scores, mask=np.isnan(scores))], names=[*keep, *(x.split()[0] for x in MEASURES.split(", "))])
 
 
-def measure(docs: DataFrame, model: dict[str, list]) -> DataFrame:
-    """All columns of ``docs`` but the text, and MEASURES."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c == "doc_id"]
+def measure(docs: DataFrame, model: DataFrame, most: int = MOST_NGRAMS) -> DataFrame:
+    """doc_id (if there is one) and MEASURES of every document, under MODEL rows."""
+    rows = modelled(docs).drop("own")
+    keep = [c for c in rows.columns if c == "doc_id"]
+    schema = ", ".join([*(f"{c} long" for c in keep), MEASURES])
+    if model.count() > most:
+        return _measure_joined(rows, model, keep, schema)
+    sent = docs.sparkSession.sparkContext.broadcast(arrays(model.toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch)):
-            texts, languages = b["text"].to_pylist(), b["language"].to_pylist()
-            counts = base_counts(texts)
-            scores = np.zeros(len(texts))
-            for language in set(languages):
-                own = [i for i, x in enumerate(languages) if x == language]
-                scores[own] = perplexities([texts[i] for i in own], _dense_of(sent.value, language))
-            columns = [pa.array(c) for c in counts.T]
-            failed = pa.array(base_failed(counts[:, 0], counts[:, 4]))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *columns, failed, b["language"], pa.array(scores)], names=[*keep, *(x.split()[0] for x in MEASURES.split(", "))])
+            yield _measured(b, sent.value, keep)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _measure_joined(rows: DataFrame, model: DataFrame, keep: list[str], schema: str) -> DataFrame:
+    """Deals the texts into blocks; a block meets the part of the model that it looks up."""
+    size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(*keep, "text"), F.lit(size // BLOCK + 1)))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch, size=16 << 20)):
+            by: dict[tuple, list[str]] = {}
+            for block, name, text in zip(b["block"].to_pylist(), b["other"].to_pylist(), b["text"].to_pylist(), strict=True):
+                by.setdefault((block, name), []).append(text)
+            for (block, name), texts in by.items():
+                for part in _chunks(texts):
+                    points, _ = pointed(texts[part])
+                    mixed = _mixed(points)
+                    for k in range(LONG + 1):
+                        keys = np.unique(hashed(mixed, slice(LONG - 1 - (k < LONG), len(mixed)), k)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array([name] * len(keys), pa.string()), pa.array(keys)], names=["block", "model", "key"])
+
+    asked = dealt.select("block", "other", "text").repartition("block").mapInArrow(wanted, "block long, model string, key long").distinct()
+    answers = asked.join(model, ["model", "key"]).select("block", "model", "key", "p", "backoff")
+
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+        models = arrays(own)
+        return pa.Table.from_batches([_measured(part, models, keep) for b in texts.to_batches() for part in slices(b)])
 
-    rows = docs.select(*(F.col(c).cast("long").alias(c) for c in keep), _language(docs).alias("language"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, ", ".join([*(f"{c} long" for c in keep), MEASURES]))
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def bands(measured: DataFrame, widen: float) -> DataFrame:
@@ -291,7 +441,7 @@ def bands(measured: DataFrame, widen: float) -> DataFrame:
 
 def judge(docs: DataFrame, widen: float = 2.0) -> DataFrame:
     """doc_id, MEASURES, low, high and kept for every document."""
-    measured = written(measure(docs, load(fit(docs))), "measured")
+    measured = written(measure(docs, fit(docs)), "measured")
     limits = written(bands(measured, widen), "bands")
     few = limits.count() <= MOST_LANGUAGES
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))

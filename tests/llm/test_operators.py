@@ -314,6 +314,34 @@ def test_bands_reject_what_is_unlike_its_language(spark):
     assert not kept[1000][0] and sum(kept[i][0] for i in range(150)) >= 148
 
 
+def test_the_model_tells_letters_beyond_ascii_apart(spark):
+    rng = random.Random(7)
+    syllables = [a + b for a in "бвгдклмн" for b in "аеио"]
+    prose = lambda: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(150))
+    other = "".join(c if c == " " else chr(ord(c) + 31 * 40) for c in prose())  # each letter becomes one that is alike by modulo 31
+    rows = [(i, prose(), "ru") for i in range(60)] + [(1000, other, "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = by_id(quality_rules.judge(df), "kept")
+    assert not kept[1000][0] and sum(kept[i][0] for i in range(60)) >= 59
+
+
+def test_the_long_model(spark):
+    import math
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, words(rng, 60) + " é\0日本", f"l{i % 2}") for i in range(30)] + [(None, None, None), (99, "alone", "x")], "doc_id long, text string, lang string")
+    model = quality_rules.fit(df).persist()
+    sent, joined = (sorted((r.doc_id or -1, r.n_words, round(r.log_perplexity, 6) if r.log_perplexity is not None else -1) for r in quality_rules.measure(df, model, most).collect()) for most in (1 << 20, 0))
+    assert sent == joined and sent[0] == (-1, 0, 0) and sent[-1] == (99, 1, -1) and all(x > 0 for *_, x in sent[1:-1])
+    name, own = max(quality_rules.arrays(model.toArrow()).items(), key=lambda x: len(x[1][0]))
+    letters = sorted(set(" é\1日本abcdefghij0123456789"))
+    for context in ("", "a", "aa1 ", "é", "本本本本", "zzzz"):
+        texts = [context, *(context + c for c in letters), context + "Z"]
+        total = -quality_rules.perplexities(texts, own) * [len(t) for t in texts]
+        each = [math.exp(x - total[0]) for x in total[1:]]
+        assert abs(sum(each[:-1]) + each[-1] * (quality_rules.UNIVERSE - len(letters)) - 1) < 1e-3, (name, context)
+
+
 # op9
 
 
