@@ -1,8 +1,9 @@
 """Secret scan over an incremental blob ledger, in DataFrame operations only.
 
 Every version of a text is addressed by the SHA-256 of its content. A (blob, rule version) pair that the ledger already
-holds is not scanned again; of the others, one copy of each blob is scanned, and findings join back to every path that
-holds the blob. Spans count code points, the end excluded.
+holds is not scanned again; of the others, one copy of each blob is scanned. The ledger keeps what was found with each
+pair, and ``scan_paths`` joins old and new findings back to every path that holds the blob. Spans count code points, the
+end excluded.
 
 Positions come from one regular expression used twice: the matches and the gaps between them alternate, so their
 lengths add up to each match's start.
@@ -68,8 +69,9 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(path, text) rows against a ledger (blob, rule).
 
-    Returns the addresses (path, blob), the findings (blob, found) of newly scanned pairs, and the pairs now scanned,
-    which the caller appends to its ledger. Only one copy of each blob with unseen pairs has its text scanned.
+    Returns the addresses (path, blob), the findings (blob, found) of newly scanned pairs only, and the pairs now scanned
+    (blob, rule, found), which the caller appends to its ledger. Only one copy of each blob with unseen pairs has its
+    text scanned. With a ledger, ``scan_paths`` tells what all paths hold.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = versions.select("path", text.alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
@@ -86,7 +88,29 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     by_rule = [F.when(F.array_contains("rules", r.key), spans(F.col("text"), r, i)).otherwise(F.array().cast(SPANS)) for i, r in enumerate(rules)]
     found = unseen.select("blob", F.concat(*by_rule).alias("found")).filter(F.size("found") > 0)
     findings = found.groupBy("blob").agg(F.first(F.array_sort("found")).alias("found"))
-    return addresses, findings, pairs.select("blob", "rule")
+    keys = F.array(*(F.lit(r.key) for r in rules))
+    of_rule = F.filter(F.coalesce("found", F.array().cast(SPANS)), lambda s: F.get(keys, s["rank"]) == F.col("rule"))
+    return addresses, findings, pairs.select("blob", "rule").join(findings, "blob", "left").select("blob", "rule", of_rule.alias("found"))
+
+
+def known(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, found), one row a blob, of what a ledger (blob, rule, found) holds for ``rules``; other rules and versions are left out."""
+    rank = F.array_position(F.array(*(F.lit(r.key) for r in rules)), F.col("rule")).cast("int") - 1
+    pairs = ledger.filter(F.col("rule").isin([r.key for r in rules])).groupBy("blob", "rule").agg(F.first("found").alias("found"))
+    ranked = pairs.select("blob", F.transform("found", lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("found"))
+    return ranked.filter(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+
+
+def scan_paths(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(path, found) for every path, with what the ledger already knows, and the rows to append to the ledger.
+
+    Ledger rows without findings (a null, or no such column) do not say what was found, so their pairs are scanned again.
+    """
+    held = ledger.select("blob", "rule", "found").filter(F.col("found").isNotNull()) if ledger is not None and "found" in ledger.columns else None
+    addresses, _, more = scan(versions, held, rules)
+    more = written(more, "scanned")
+    every = more if held is None else held.join(addresses.select("blob").distinct(), "blob", "left_semi").unionByName(more)
+    return findings_by_path(addresses, known(every, rules)), more
 
 
 def findings_by_path(addresses: DataFrame, findings: DataFrame) -> DataFrame:
