@@ -53,9 +53,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt_out(df: DataFrame, size: int = 64 << 20) -> int:
+    """How many tasks to deal ``df`` out to: the session's shuffle partitions, more where each would get over ``size`` bytes of what Catalyst estimates."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffle_partitions(df.sparkSession), -(-estimate // size) if estimate < 1 << 60 else 0)  # without statistics it is no size
+
+
 def text_column(docs: DataFrame, column: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` only (a null text becomes empty): extra columns never reach the workers."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")  # an alias would keep exchanges from being reused
+    return docs.select(doc_id, F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -13,11 +13,12 @@ doc_id. Suffixes need sorting by their first ``depth`` bytes only, and only wher
    a difference cover's sample positions, counted from the sample, so that equal strings have equal residues.
 3. Covered stretches return to their documents, are merged and cut out.
 
-Texts are shuffled once, by doc_id, and that exchange is reused in every step; a bucket's size is fixed, as the number
-of buckets grows with the number of partitions. Samples are known by 40 bits besides their bucket's, contexts by 32
-more; where these decide alone, they do so together.
+Texts are shuffled once, by doc_id, and that exchange is reused in every step. The number of buckets grows with the
+bytes of the input, and a task holds one bucket at a time; what one sample has in common is in one bucket, however many
+documents hold it. Samples are known by 40 bits besides their bucket's, contexts by 64 more; where these decide alone,
+they do so together.
 
-Nulls: a null text is empty; a document with a null doc_id is returned whole and removes nothing. Rows with the same
+Nulls: a null text is empty, and texts of any length (up to Spark's 2 GB) are read whole; a document with a null doc_id is returned whole and removes nothing. Rows with the same
 doc_id do not remove each other's bytes. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, ragged, shuffle_partitions, text_column
+from .common import dealt_out, mix64, ragged, text_column
 
 GRAM = 22
 #: A difference cover: every residue reaches one of these in at most 5 steps, modulo 13.
@@ -39,8 +40,10 @@ MODULUS, COVER = 13, (0, 1, 3, 9)
 STEP = np.array([min((c - r) % MODULUS for c in COVER) for r in range(MODULUS)])
 #: Texts that are hashed together hold about so many bytes.
 CHUNK = 1 << 21
-#: Low bits of a packed minimum hold its position in the chunk.
-PLACE = 28
+#: Low bits of a packed minimum hold its position in the chunk, which is one text of up to 2 GB at most; of equal upper bits the leftmost counts.
+PLACE = 32
+#: Buckets for each task of a bucket shuffle.
+SPLIT = 4
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -109,19 +112,20 @@ class Sampled:
         self.hash = hashes[self.at]
 
     def contexts(self) -> np.ndarray:
-        """A 32-bit hash of each run's bytes and shape."""
+        """A 64-bit hash of each run's bytes and shape."""
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[self.data] * _powers(len(self.data)), dtype=np.uint64)])
         end = self.first + self.count + self.depth - 1
         whole = (prefix[end] - prefix[self.first]) * _inverse(self.first)
-        return (mix64(whole + (self.at - self.first).astype(np.uint64) + (self.count.astype(np.uint64) << np.uint64(8))) >> np.uint64(32)).astype(np.uint32)
+        return mix64(whole + (self.at - self.first).astype(np.uint64) + (self.count.astype(np.uint64) << np.uint64(8)))
 
-    def among(self, own: list[bytes]) -> np.ndarray:
-        """Which runs have a sample that their text's entry of ``own`` lists (see ``short``)."""
+    def among(self, own: list[bytes], buckets: int) -> np.ndarray:
+        """Which runs have a sample that their text's entry of ``own`` lists (see ``marked``)."""
         hit = np.zeros(len(self.hash), bool)
+        marks = marked(self.hash >> np.uint64(24), bucket_of(self.hash, buckets))
         edges = np.searchsorted(self.text, np.arange(len(self.sizes) + 1)).tolist()
         for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             if own[i] and a < b:
-                hit[a:b] = np.isin(self.hash[a:b] >> np.uint64(24), long(own[i]))
+                hit[a:b] = np.isin(marks[a:b], np.frombuffer(own[i], np.uint64))
         return hit
 
 
@@ -136,6 +140,11 @@ def long(raw: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
+def marked(upper: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """Samples by the upper 40 bits of their hashes and their buckets."""
+    return upper << np.uint64(24) | np.asarray(bucket).astype(np.uint64)
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return (h & np.uint64(0xFFFFFF)) % np.uint64(n)
 
@@ -281,8 +290,11 @@ def find_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
     """doc_id, text as bytes, and the covered stretches of every document (packed)."""
     if depth < GRAM + 8:
         raise ValueError(f"depth is at least {GRAM + 8}")
-    n = shuffle_partitions(docs.sparkSession)
-    texts = text_column(docs).filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text")).repartition(n, "doc_id")
+    if depth > GRAM + 254:
+        raise ValueError(f"depth is at most {GRAM + 254}")
+    texts = text_column(docs).filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+    n = dealt_out(texts)
+    texts, buckets = texts.repartition(n, "doc_id"), SPLIT * n
 
     def usable(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Sampled, list[int]]]:
         data = b["text"].to_pylist()
@@ -299,11 +311,11 @@ def find_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
                 text, h, c = s.text[order], s.hash[order], c[order]
                 new = np.append(True, (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
                 text, h, c = text[new], h[new], c[new]
-                yield packed_rows(bucket_of(h, n), [ids[text], short(h), c])
+                yield packed_rows(bucket_of(h, buckets), [ids[text], short(h), c])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw in by_bucket(batches, 3):
-            doc, h, c = np.frombuffer(raw[0], np.int64), long(raw[1]), np.frombuffer(raw[2], np.uint32)
+        for bucket, raw in by_bucket(batches, 3):
+            doc, h, c = np.frombuffer(raw[0], np.int64), long(raw[1]), np.frombuffer(raw[2], np.uint64)
             order = np.lexsort((doc, h))
             doc, h, c = doc[order], h[order], c[order]
             new = np.append(True, h[1:] != h[:-1])
@@ -315,7 +327,7 @@ def find_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
             closed = several & tied[group] & (doc > doc[first][group])
             open_ = several & ~tied[group]
             for at, empty in ((closed, 1), (open_, 0)):
-                part = by_document(doc[at], [short(h[at] << np.uint64(24))])
+                part = by_document(doc[at], [marked(h[at], bucket)])
                 nothing = pa.array([None] * part.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([part[0], *((part[1], nothing) if empty else (nothing, part[1]))], names=["doc_id", "closed", "open"])
 
@@ -323,7 +335,7 @@ def find_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
         for b in batches:
             closed, open_ = b["closed"].to_pylist(), b["open"].to_pylist()
             for ids, s, rows in usable(b):
-                tied = s.among([b"".join(closed[row]) for row in rows])
+                tied = s.among([b"".join(closed[row]) for row in rows], buckets)
                 text, start = s.text[tied], (s.first - s.starts[s.text])[tied]
                 end = start + s.count[tied] + depth - 1
                 if len(text):  # known to be covered: stretches that meet are one, and pass through under a bucket below 0
@@ -331,9 +343,9 @@ def find_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
                     last = np.append(np.flatnonzero(new)[1:] - 1, len(text) - 1)
                     done = [ids[text[new]].tobytes(), b"", start[new].astype(np.uint32).tobytes(), end[last].astype(np.uint32).tobytes(), b"", b""]
                     yield pa.RecordBatch.from_arrays([pa.array([-1 - int(ids[0]) % n], pa.int32()), *(pa.array([x], pa.binary()) for x in done)], names=["bucket", *(f"c{i}" for i in range(6))])
-                hit = s.among([b"".join(open_[row]) for row in rows])
+                hit = s.among([b"".join(open_[row]) for row in rows], buckets)
                 first, count, at, text, h = s.first[hit], s.count[hit], s.at[hit], s.text[hit], s.hash[hit]
-                yield packed_rows(bucket_of(h, n), [ids[text], h, (first - s.starts[text]).astype(np.uint32), (at - first).astype(np.uint8), count.astype(np.uint8)], (s.data, first, count + depth - 1))
+                yield packed_rows(bucket_of(h, buckets), [ids[text], h, (first - s.starts[text]).astype(np.uint32), (at - first).astype(np.uint8), count.astype(np.uint8)], (s.data, first, count + depth - 1))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, raw in by_bucket(batches, 6):
