@@ -4,18 +4,20 @@ Two sets of similarity t or more share a token among the first n - ceil(t * n) +
 An order that puts tokens of one set alone before all others lets a set out that has that many of them: it links with
 nothing. A fixed share of the token space (by hash) is counted for that, over all documents, which leaves few sets.
 
-Of these, candidates come from a rare-first order, and a candidate pair must then share a prefix token under two more
-orders before the sets are compared. The rare-first orders rest on a counting sketch of fixed size: as any order is
-correct, a coarse one only costs time.
+Of these, candidates come from a rare-first order, and a candidate pair must also share a prefix token under two more
+orders: the prefixes travel to the pairs, and only sets of pairs that every order lets through travel to be compared. The
+rare-first orders rest on a counting sketch of fixed size: as any order is correct, a coarse one only costs time.
 
 Documents with equal sets are one node. Where nodes meet behind a common token, two bounds discard pairs before they are
 emitted: the sizes', and that of parity bitmaps, whose distance is never more than that of the sets. Members of a large
 group then meet along a forest over the components known so far: a pair that passes the bounds stands for all others
 between the two components, until it is compared. Rounds of that leave few components, and all pairs across these that
-pass the bounds are compared in the end. Sets are compared exactly (as sorted 64-bit token hashes).
+pass the bounds are compared in the end. A group of more members than a block holds is dealt out by pairs of its blocks.
+Sets are compared exactly (as sorted 64-bit token hashes).
 
-Nulls: a null text is empty, and empty texts link with nothing. A null doc_id is carried and never an id of a component.
-Repeated rows are equal sets. An empty table gives no rows. Other columns are ignored.
+Nulls: a null text is empty, and empty texts link with nothing. A document with a null doc_id links like any other, but
+its id is never that of a component. Repeated rows, and rows with one doc_id and several texts, are documents of their
+own. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, mix64, shuffle_partitions, slices, text_column, written
+from .common import ascii_lower, beside, dealt_out, mix64, slices, text_column, written
 from .components import connected_components
 
 SKETCH, CHUNKS = 1 << 20, 64
-#: Ids of kept documents are sent to all executors up to this number (8 bytes each), and joined beyond it.
+#: Names of kept documents are sent to all executors up to this number (24 bytes each), and joined beyond it.
 MOST_SENT = 1 << 20
 #: Orders after the first differ in how they break ties.
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
@@ -41,6 +43,8 @@ WIDTH, WIDE = 8, 32
 SMALL_GROUP = 16
 #: Rounds of meeting along forests before all pairs across components are compared.
 FOREST_ROUNDS = 3
+#: Members of a large group that meet in one task.
+BLOCK = 1024
 
 
 def token_sets(texts: list[str], words: int) -> list[np.ndarray]:
@@ -92,25 +96,26 @@ def parity(tokens: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
-def near(sizes: np.ndarray, bits: np.ndarray, i: int, percent: int) -> np.ndarray:
-    """Which members behind the i-th of a group (sorted by size) the bounds allow to link with it."""
+def near(sizes: np.ndarray, bits: np.ndarray, i: int, percent: int, block: np.ndarray | None = None) -> np.ndarray:
+    """Which members behind the i-th of a group (sorted by size) the bounds allow to link with it; of other blocks only, if given."""
     end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-    apart = np.bitwise_count(bits[i + 1 : end] ^ bits[i]).sum(1, dtype=np.int64)
-    return i + 1 + np.flatnonzero(apart * (100 + percent) <= (sizes[i + 1 : end] + sizes[i]) * (100 - percent))
+    x = np.arange(i + 1, end) if block is None else i + 1 + np.flatnonzero(block[i + 1 : end] != block[i])
+    apart = np.bitwise_count(bits[x] ^ bits[i]).sum(1, dtype=np.int64)
+    return x[apart * (100 + percent) <= (sizes[x] + sizes[i]) * (100 - percent)]
 
 
-def all_pairs(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, components: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs across components that pass the bounds; the group is sorted by size."""
+def all_pairs(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, components: np.ndarray, percent: int, block: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs across components (and blocks) that pass the bounds; the group is sorted by size."""
     for i in range(len(nodes)):
-        for j in (x := near(sizes, bits, i, percent))[components[x] != components[i]].tolist():
+        for j in (x := near(sizes, bits, i, percent, block))[components[x] != components[i]].tolist():
             yield int(nodes[i]), int(nodes[j])
 
 
-def forest(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, components: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+def forest(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, components: np.ndarray, percent: int, block: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Of those pairs, so many that they connect what all of them would."""
     label = np.unique(components, return_inverse=True)[1]
     for i in range(len(nodes)):
-        x = near(sizes, bits, i, percent)
+        x = near(sizes, bits, i, percent, block)
         x = x[label[x] != label[i]]
         if len(x):
             other, at = np.unique(label[x], return_index=True)
@@ -131,15 +136,25 @@ def _bytes(rows: list) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
-def describe(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, node) of every document; a document without words has no node."""
+def _digested(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a digest of the text: the two name a document, whatever its doc_id."""
+    return text_column(docs).withColumn("digest", F.xxhash64("text"))
+
+
+def describe(docs: DataFrame, words: int, share: int) -> DataFrame:
+    """(doc_id, digest, n, node, counted) of every document; one without words has no node.
+
+    ``counted`` holds one token hash in ``share``, 7 bytes each: what ``lone_tokens`` counts, so that the texts need not
+    be read again for it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch)):
             sets = token_sets(b["text"].to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "node"])
+            counted = [np.ascontiguousarray(s[mix64(s) % np.uint64(share) == 0].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["digest"], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), _bytes(counted)], names=["doc_id", "digest", "n", "node", "counted"])
 
-    return written(text_column(docs).mapInArrow(run, "doc_id long, n long, node long"), "nodes")
+    return written(_digested(docs).mapInArrow(run, "doc_id long, digest long, n long, node long, counted binary"), "nodes")
 
 
 def _rows_by(key: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -173,19 +188,18 @@ def counted_share(percent: int) -> int:
     return max(1, 40 // (100 - percent)) if percent < 100 else 40
 
 
-def lone_tokens(docs: DataFrame, words: int, share: int) -> DataFrame:
+def lone_tokens(nodes: DataFrame) -> DataFrame:
     """(node, lone): how many of a node's counted tokens no other node has; nodes without any are missing."""
-    n = shuffle_partitions(docs.sparkSession)
+    n = dealt_out(nodes.select("node", "counted"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch)):
-            sets = [s for s in token_sets(b["text"].to_pylist(), words) if len(s)]
-            if sets:
-                node = np.repeat(np.array([node_of(s) for s in sets]), [len(s) for s in sets])
-                t = np.concatenate(sets)
-                counted = mix64(t) % np.uint64(share) == 0
-                t, node = t[counted] >> np.uint64(8), node[counted]
-                yield _rows_by((t & np.uint64(0xFFFF)) % np.uint64(n), [node, np.ascontiguousarray((t >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])])
+        for b in (part for batch in batches for part in slices(batch, "counted")):
+            raw = b["counted"].to_pylist()
+            if any(raw):
+                node = np.repeat(np.array(b["node"].to_pylist()), [len(x) // 7 for x in raw])
+                t = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 7)
+                bucket = (t[:, 0].astype(np.uint64) | t[:, 1].astype(np.uint64) << np.uint64(8)) % np.uint64(n)
+                yield _rows_by(bucket, [node, np.ascontiguousarray(t[:, 2:])])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, raw in _by_bucket(batches, (np.int64, np.uint8)):
@@ -206,7 +220,7 @@ def lone_tokens(docs: DataFrame, words: int, share: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, times).astype(np.int64))], names=["node", "lone"])
 
     packed = "bucket int, c0 binary, c1 binary"
-    counted = text_column(docs).mapInArrow(emit, packed).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count, packed)
+    counted = nodes.filter("node is not null").select("node", "counted").mapInArrow(emit, packed).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count, packed)
     return counted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "node long, lone long")
 
 
@@ -220,10 +234,10 @@ def possible_sets(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -
             yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(keep, pa.int64())), _bytes([found[i].tobytes() for i in keep]), _bytes([parity(found[i], WIDE).tobytes() for i in keep])], names=["node", "tokens", "wide"])
 
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    keepers = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    keepers = written(keepers.join(lone_tokens(docs, words, counted_share(percent)), "node", "left").filter(F.coalesce("lone", F.lit(0)) < need).select("doc_id", "node"), "keepers")
-    few = keepers.count() <= MOST_SENT
-    texts = text_column(docs).join(keepers.hint("broadcast" if few else "shuffle_hash"), "doc_id").select("node", "text")
+    keepers = nodes.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("k"), F.first("n").alias("n"))
+    keepers = keepers.join(lone_tokens(nodes), "node", "left").filter(F.coalesce("lone", F.lit(0)) < need)
+    keepers = beside(written(keepers.select("node", F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest")), "keepers"), MOST_SENT)
+    texts = _digested(docs).join(keepers, (F.col("digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("node", "text")
     return written(texts.mapInArrow(sets, "node long, tokens binary, wide binary").groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("wide").alias("wide")), "tokens")
 
 
@@ -257,19 +271,18 @@ def sketch_of(sets: DataFrame) -> np.ndarray:
 PAIRS = "a long, b long"
 
 
-def candidates(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+def candidates(sets: DataFrame, sketch, percent: int) -> DataFrame:
     """Rows of kind 0 (pair a, b) and of kind 1 (group a, node b, size n, bits): the large groups, for later rounds.
 
-    Prefix tokens travel packed, a row for each batch and bucket; a bucket's groups are made in one task at a time.
+    ``sketch`` is a broadcast. Prefix tokens travel packed, a row for each batch and bucket.
     """
-    spark = sets.sparkSession
-    sent, buckets = spark.sparkContext.broadcast(sketch), shuffle_partitions(spark)
+    buckets = dealt_out(sets)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "tokens")):
             found = [np.frombuffer(x, np.uint64) for x in b["tokens"].to_pylist()]
             if found:
-                prefixes = [prefix(x, sent.value, 0, percent) for x in found]
+                prefixes = [prefix(x, sketch.value, 0, percent) for x in found]
                 n = [len(p) for p in prefixes]
                 t = np.concatenate(prefixes)
                 rest = (np.array(b["node"].to_pylist()), np.array([len(x) for x in found], np.int32), np.stack([parity(x) for x in found]))
@@ -298,27 +311,28 @@ def candidates(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "kind int, a long, b long, n int, bits binary")
 
 
-def across(groups: DataFrame, components: DataFrame, sets: DataFrame, percent: int, last: bool) -> DataFrame:
+def across(groups: DataFrame, blocks: DataFrame, components: DataFrame, sets: DataFrame, percent: int, last: bool) -> DataFrame:
     """Pairs of large groups between nodes that are not yet connected: along forests, or all that pass the bounds.
 
-    The last round bounds by the wide bitmaps.
+    ``blocks`` (g, blocks) tells of groups that are dealt out by pairs of blocks. The last round bounds by the wide bitmaps.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: list[tuple]) -> pa.RecordBatch:
-            component, n, node, bits = zip(*rows, strict=True)
-            component, n, node, bits = np.array(component), np.array(n, np.int64), np.array(node), np.frombuffer(b"".join(bits), np.uint64).reshape(len(node), -1)
+            component, n, node, block, bits = zip(*rows, strict=True)
+            component, n, node, block, bits = np.array(component), np.array(n, np.int64), np.array(node), np.array(block), np.frombuffer(b"".join(bits), np.uint64).reshape(len(node), -1)
             order = np.lexsort((node, n))
-            found = {(min(p), max(p)) for p in (all_pairs if last else forest)(node[order], n[order], bits[order], component[order], percent)}
+            apart = block[order] if block.min() != block.max() else None
+            found = {(min(p), max(p)) for p in (all_pairs if last else forest)(node[order], n[order], bits[order], component[order], percent, apart)}
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
         current, held = None, []
         for b in batches:
-            for group, *rest in zip(*(b[x].to_pylist() for x in ("g", "component", "n", "node", "bits")), strict=True):
-                if group != current and held:
+            for g, x, y, *rest in zip(*(b[c].to_pylist() for c in ("g", "x", "y", "component", "n", "node", "block", "bits")), strict=True):
+                if (g, x, y) != current and held:
                     yield pairs(held)
                     held = []
-                current = group
+                current = g, x, y
                 held.append(tuple(rest))
         if held:
             yield pairs(held)
@@ -328,58 +342,88 @@ def across(groups: DataFrame, components: DataFrame, sets: DataFrame, percent: i
     rows = placed.join(apart, "g", "left_semi")
     if last:
         rows = rows.drop("bits").join(sets.select("node", F.col("wide").alias("bits")), "node")
-    rows = rows.select("g", "component", "n", "node", "bits").repartition("g").sortWithinPartitions("g")
-    return rows.mapInArrow(run, PAIRS)
+    dealt = rows.join(blocks, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "component", "n", "node", "block", "bits")
+    return dealt.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y").mapInArrow(run, PAIRS)
 
 
-def verify(sets: DataFrame, pairs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: they share a prefix token under every further order, and their sets agree.
+def _meet(rows: DataFrame, pairs: DataFrame, column: str, alike) -> DataFrame:
+    """The pairs (a, b) whose two entries in ``column`` of ``rows`` (node, ...) are alike.
 
     A pair's ``a`` is read once for all its partners, which stream by.
     """
-    sent = sets.sparkSession.sparkContext.broadcast(sketch)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, prefixes, current = np.zeros(0, np.uint64), [], None
+        hub, current = np.zeros(0, np.uint64), None
         for b in batches:
             out = []
-            for a, partner, raw in zip(b["a"].to_pylist(), b["b"].to_pylist(), b["tokens"].to_pylist(), strict=True):
+            for a, partner, raw in zip(b["a"].to_pylist(), b["b"].to_pylist(), b[column].to_pylist(), strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 if partner is None:
                     current, hub = a, s
-                    prefixes = [prefix(s, sent.value, k, percent) for k in range(1, len(SEEDS))]
-                elif current == a and all(np.isin(prefix(s, sent.value, k, percent), p).any() for k, p in enumerate(prefixes, 1)) and linked(hub, s, percent):
+                elif current == a and alike(hub, s):
                     out.append((a, partner))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    tokens = sets.select("node", "tokens")
-    hubs = tokens.join(pairs.select("a").distinct(), F.col("node") == F.col("a"), "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
-    partners = pairs.join(tokens.withColumnRenamed("node", "b"), "b").select("a", "b", "tokens")
+    rows = rows.select("node", column)
+    hubs = rows.join(pairs.select("a").distinct(), F.col("node") == F.col("a"), "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), column)
+    partners = pairs.join(rows.withColumnRenamed("node", "b"), "b").select("a", "b", column)
     return hubs.unionByName(partners).repartition("a").sortWithinPartitions(F.col("a"), F.col("b").asc_nulls_first()).mapInArrow(compare, PAIRS)
 
 
+def further_prefixes(sets: DataFrame, sketch, percent: int) -> DataFrame:
+    """(node, prefixes): how many tokens each prefix under the further orders has, and the prefixes, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch, "tokens")):
+            rows = []
+            for raw in b["tokens"].to_pylist():
+                own = [prefix(np.frombuffer(raw, np.uint64), sketch.value, k, percent) for k in range(1, len(SEEDS))]
+                rows.append(np.concatenate([np.array([len(p) for p in own], np.uint64), *own]).tobytes())
+            yield pa.RecordBatch.from_arrays([b["node"], _bytes(rows)], names=["node", "prefixes"])
+
+    return written(sets.select("node", "tokens").mapInArrow(run, "node long, prefixes binary"), "prefixes")
+
+
+def share_prefixes(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two rows of ``further_prefixes`` have a token in common under every order."""
+    orders = len(SEEDS) - 1
+    cut = lambda x: np.split(x[orders:], np.cumsum(x[:orders].astype(np.int64))[:-1])
+    return all(np.isin(p, q).any() for p, q in zip(cut(a), cut(b), strict=True))
+
+
+def verify(sets: DataFrame, prefixes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked: every further order's filter lets them through, and then their sets agree."""
+    return _meet(sets, written(_meet(prefixes, pairs, "prefixes", share_prefixes), "pairs"), "tokens", lambda a, b: linked(a, b, percent))
+
+
 def join_documents(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document.
 
     Documents link whose sets have at least ``percent`` / 100 of their union in common.
     """
-    nodes = describe(docs, words)
+    nodes = describe(docs, words, counted_share(percent))
     sets = possible_sets(docs, nodes, words, percent)
-    sketch = sketch_of(sets)
+    sketch = docs.sparkSession.sparkContext.broadcast(sketch_of(sets))
     met = written(candidates(sets, sketch, percent), "met")
+    prefixes = further_prefixes(sets, sketch, percent)
+    sketch.unpersist()
     groups = met.filter("kind = 1")
+    blocks = groups.groupBy(F.col("a").alias("g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    blocks = beside(written(blocks, "blocks"))
     pairs = written(met.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    links = written(verify(sets, pairs, sketch, percent), "links")
+    links = written(verify(sets, prefixes, pairs, percent), "links")
     components = written(connected_components(links), "components")
     for turn in range(FOREST_ROUNDS + 1):
-        more = written(across(groups, components, sets, percent, turn == FOREST_ROUNDS).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = written(across(groups, blocks, components, sets, percent, turn == FOREST_ROUNDS).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
-        new = written(verify(sets, more, sketch, percent), "links")
+        new = written(verify(sets, prefixes, more, percent), "links")
         pairs = pairs.unionByName(more)
         links = links.unionByName(new)
         if not new.isEmpty():
             components = written(connected_components(links), "components")
-    placed = nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = nodes.select("doc_id", "n", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
