@@ -17,6 +17,7 @@ gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -24,33 +25,61 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, text_column, written
+from .common import ragged, slices, text_column, written
+
+
+#: A worker's table of words holds about so many (20 bytes each besides their ids) before it starts anew.
+MOST_WORDS = 1 << 20
+#: Texts that are encoded together hold about so many bytes.
+TOGETHER = 2 << 20
+
+
+#: A word of letters that the normalizer leaves as they are, and the ASCII marks behind it: the pre-tokenizer parts the two.
+_PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+@lru_cache(maxsize=1)
+def tokenizers_of(path: str) -> tuple:
+    """The encoder, one for words of letters only, and which of its ids end a word (those whose strings end in ``</w>``)."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    whole, letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    letters.normalizer = normalizers.Sequence([])
+    letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(whole.get_vocab_size(), bool)
+    ends[[i for token, i in whole.get_vocab().items() if token.endswith("</w>")]] = True
+    return whole, letters, ends
 
 
 class WordEncoder:
-    """Encodes by white-space separated words, each looked up in a table of words seen.
+    """Encodes by white-space separated words, each looked up by its 64-bit hash in a sorted table of words seen.
 
     The encoder's pre-tokenizer never joins what white space separates, so a text's ids are those of its words. Words
-    not in the table are encoded together, in one call per batch. The table stops growing at ``most`` words.
+    not in the table are encoded together, letters apart from the marks behind them.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = MOST_WORDS):
+        self.encoder, self.letters, self.ends = tokenizers_of(path)
+        self.most = most
+        self._forget()
 
-        self.encoder, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, int] = {"": 0}
-        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+    def _forget(self) -> None:
+        """Only the empty word is known, which has no ids."""
+        self.keys, self.starts, self.lengths = np.array([hash("")], np.int64), np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.flat = np.zeros(0, np.uint32)
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        low = text.lower()  # fewer words to know, where the normalizer's order (NFC, then lower case) makes no difference
+    def prepared(text: str) -> str:
+        """Words apart by single characters; lower-cased (fewer words to know) where the normalizer's order (NFC, then lower case) makes no difference."""
+        low = text.lower()
         if text.isascii() and "<|" not in text or not ("Σ" in text or "<|" in text) and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
             text = low
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
@@ -59,30 +88,64 @@ class WordEncoder:
         first = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
         return np.array(e.ids, np.uint32), np.bincount(np.searchsorted(at, first, "right") - 1, minlength=len(words))
 
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.letters.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words are in the table, and whether they are there."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return at, self.keys[at] == hashes
+
+    def _insert(self, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys = np.insert(self.keys, at, hashes[order])
+        self.starts = np.insert(self.starts, at, (len(self.flat) + np.cumsum(n) - n)[order])
+        self.lengths = np.insert(self.lengths, at, n[order])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _add(self, words: list[str], encode) -> np.ndarray:
+        """Adds those not yet known; the hashes of all."""
+        hashes = np.fromiter(map(hash, words), np.int64, len(words))
+        new, first = np.unique(hashes, return_index=True)
+        first = first[~self._find(new)[1]]
+        if len(first):
+            self._insert(hashes[first], *encode([words[i] for i in first.tolist()]))
+        return hashes
+
+    def _learn(self, hashes: np.ndarray, words: pa.Array) -> None:
+        missing = ~self._find(hashes)[1]
+        if len(self.keys) + 2 * int(missing.sum()) > self.most:
+            self._forget()
+            missing = ~self._find(hashes)[1]
+        if not missing.any():
+            return
+        parts = [m.groups() if (m := _PLAIN.fullmatch(w)) else ("", w) for w in words.filter(pa.array(missing)).to_pylist()]
+        letters = self._add([p[0] for p in parts], self._encode_letters)
+        rest = self._add([p[1] for p in parts], self._encode)
+        joined = np.flatnonzero(~self._find(hashes[missing])[1])
+        both = np.stack([self._find(letters[joined])[0], self._find(rest[joined])[0]], 1).ravel()
+        self._insert(hashes[missing][joined], self.flat[ragged(self.starts[both], self.lengths[both])], self.lengths[both].reshape(-1, 2).sum(1))
+
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's."""
-        split = [self.words(t) for t in texts]
-        missing = {w for ws in split for w in ws} - self.known.keys()
-        known, starts, lengths, flat = self.known, self.starts, self.lengths, self.flat
-        if missing:
-            new = sorted(missing)
-            ids, n = self._encode(new)
-            base = len(known)
-            starts, lengths, flat = np.concatenate([starts, len(flat) + np.cumsum(n) - n]), np.concatenate([lengths, n]), np.concatenate([flat, ids])
-            known = known if base + len(new) <= self.most else dict(known)
-            known.update(zip(new, range(base, base + len(new)), strict=True))
-            if known is self.known:
-                self.starts, self.lengths, self.flat = starts, lengths, flat
-        index = np.fromiter((i for ws in split for i in map(known.__getitem__, ws)), np.int64)
-        n = lengths[index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        per_text = ends[np.cumsum([len(ws) for ws in split])] if split else np.zeros(0, np.int64)
-        return flat[ragged(starts[index], n)], np.diff(np.concatenate([[0], per_text]))
-
-
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """A worker's encoder, which keeps the words that it has seen from one task to the next."""
+        split = pc.split_pattern(pa.array(map(self.prepared, texts), pa.string()), " ")
+        words = split.flatten().dictionary_encode()
+        hashes = np.fromiter(map(hash, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        order = np.argsort(hashes)  # a sorted search is a fast one
+        self._learn(hashes[order], words.dictionary.take(pa.array(order)))
+        place = np.empty(len(order), np.int64)
+        place[order] = self._find(hashes[order])[0]
+        index = place[words.indices.to_numpy()]
+        n = self.lengths[index]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        return self.flat[ragged(self.starts[index], n)], np.diff(ends[split.offsets.to_numpy() - split.offsets[0].as_py()])
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str, stage: int) -> WordEncoder:
+    """A worker's encoder: tasks of one stage share its table of words, the next stage starts with none."""
     return WordEncoder(path)
 
 
@@ -207,14 +270,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     """One row per piece: PACKED. Sequences are numbered from 0 without gaps."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer_path)
-        part, ranks = TaskContext.get().partitionId(), np.zeros(window, np.int64)
+        context = TaskContext.get()
+        encoder = word_encoder(tokenizer_path, context.stageId())
+        part, ranks = context.partitionId(), np.zeros(window, np.int64)
         names = [x.split()[0] for x in FIRST.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
         for b in batches:
             rows: list[tuple] = []
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
+            for some in slices(b, size=TOGETHER):
                 ids, n = encoder.encode_batch(some["text"].to_pylist())
                 end = 0
                 for doc_id, k in zip(some["doc_id"].to_pylist(), n.tolist(), strict=True):
