@@ -4,18 +4,22 @@ The language model is a character 5-gram model over code points as they are, wit
 n-grams have no bound but what the corpus holds. Spark sums the counts that each task has pre-aggregated, smooths them
 order by order in joins, and keeps the model as rows of hashed n-grams. A text is scored by the model of the other half
 of its language's texts (halves by hash, so exact copies are in one), as a high order would give a text's own n-grams
-back to it. The model is sent to all executors while it is small; beyond that, each block of texts is joined with the
+back to it. Scoring looks n-grams up in sorted hash arrays. Models are sent to the executors in parts of so many n-grams,
+each part with the texts that it scores; a model larger than a part is joined instead: each block of its texts meets the
 n-grams that occur in it. A document whose perplexity lies outside its language's band is rejected. A band is what the
 language's own quartiles span, widened by a factor of their distance.
 
-Nulls: a null text is empty (no words, so it fails the base rules), a null language is a language of its own. A language
-with texts in one half only has no perplexity there (null), and no text of it is rejected for that. Repeated rows are
-judged apart. Texts of any length are read whole. An empty table gives no rows. Other columns pass through.
+Nulls: a null text is empty (no words, so it fails the base rules); a null language and an empty one are one language of
+their own; a null doc_id is carried. A language with texts in one half only has no perplexity there (null), and no text of
+it is rejected for that. Repeated rows are judged apart. Texts of any length are read whole. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,54 +30,20 @@ from pyspark.sql import functions as F
 from .common import beside, mix64, slices, written
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
-#: The small model in memory (``kneser_ney``) that the smoothing is tested on: symbols of 7 bits.
-ORDER, BITS = 3, 7
 #: Order of the model over code points, and how many code points there are.
 LONG, UNIVERSE = 5, 0x110000
 #: Texts that are scored together hold about so many characters.
 CHUNK = 2_000_000
-#: Models of up to so many n-grams, all languages together, are sent to all executors (16 bytes each), and joined beyond that.
-MOST_NGRAMS = 1 << 23
+#: N-grams (16 bytes each) of the models that are sent to all executors at a time; a model of more is joined.
+MOST_NGRAMS = 1 << 22
 #: Where the model is joined, a block of texts holds about so many characters.
 BLOCK = 16_000_000
 #: A task holds up to about so many n-grams while it counts.
 HELD = 1 << 21
-#: Bands of up to so many languages are sent to all executors, and joined beyond that.
+#: Bands of up to so many languages are sent to all executors, and joined beyond that; likewise, beyond that all models are joined.
 MOST_LANGUAGES = 10_000
-
-
-def fold_table() -> np.ndarray:
-    """Symbol of each code point: 0 bounds a text, ASCII keeps itself (digits are one), all else shares 31 symbols."""
-    t = 97 + (np.arange(0x110000) % 31)
-    t[:128] = np.arange(128) - 31
-    t[:32] = 1
-    t[48:58] = 48 - 31
-    t[127] = 1
-    return t.astype(np.uint8)
-
-
-_FOLD = fold_table()
-
-
-def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each behind ORDER - 1 bounds, and where each text begins."""
-    gap = "\0" * (ORDER - 1)
-    points = np.frombuffer((gap + gap.join(texts)).encode("utf-32-le"), np.uint32)
-    codes = _FOLD[points]
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.cumsum(lengths + ORDER - 1) - lengths
-    for s in starts.tolist():
-        codes[s - ORDER + 1 : s] = 0
-    return codes, starts
-
-
-def grams(codes: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each symbol from the (ORDER - 1)-th on, as an integer of order * BITS bits."""
-    n = len(codes) - ORDER + 1
-    out = np.zeros(max(n, 0), np.uint32)
-    for i in range(ORDER - order, ORDER):
-        out = (out << np.uint32(BITS)) | codes[i : i + n]
-    return out
+#: Characters are numbered anew for each chunk of text; so many bits each let an n-gram be one integer.
+DENSE = 12
 
 
 def base_counts(texts: list[str]) -> np.ndarray:
@@ -167,31 +137,42 @@ def modelled(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"own": F.concat(half.cast("string"), "language"), "other": F.concat((1 - half).cast("string"), "language")})
 
 
+def _counted(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and code points of the distinct n-grams that end at a text's characters."""
+    ends = np.flatnonzero(points[LONG - 1 :]) + LONG - 1
+    present = np.flatnonzero(np.bincount(points, minlength=1))
+    if len(present) > 1 << DENSE:
+        keys, first, n = np.unique(hashed(_mixed(points), ends, LONG), return_index=True, return_counts=True)
+        return keys, n, np.stack([points[ends[first] - m] for m in range(LONG - 1, -1, -1)], axis=1)
+    number = np.zeros(int(present[-1]) + 1, np.uint64)
+    number[present] = np.arange(len(present))
+    small, packed = number[points], np.zeros(len(ends), np.uint64)
+    for m in range(LONG - 1, -1, -1):
+        packed = packed << np.uint64(DENSE) | small[ends - m]
+    packed, n = np.unique(packed, return_counts=True)
+    grams = np.stack([present[(packed >> np.uint64(DENSE * m) & np.uint64((1 << DENSE) - 1)).astype(np.int64)] for m in range(LONG - 1, -1, -1)], axis=1).astype(np.uint32)
+    return hashed(_mixed(grams.ravel()), np.arange(LONG - 1, grams.size, LONG), LONG), n, grams
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(model, gram, n) over every text. Each task counts before anything is shuffled."""
 
     def rows_of(model: str, part: tuple) -> Iterator[pa.RecordBatch]:
         _, n, points = part
         for i in range(0, len(n), 100_000):
-            joined = points[i : i + 100_000].tobytes().decode("utf-32-le")
-            own = [joined[j : j + LONG] for j in range(0, len(joined), LONG)]
-            yield pa.RecordBatch.from_arrays([pa.array([model] * len(own), pa.string()), pa.array(own, pa.string()), pa.array(n[i : i + 100_000])], names=["model", "gram", "n"])
+            own = np.ascontiguousarray(points[i : i + 100_000], "<u4").view(f"<U{LONG}").ravel().tolist()  # no n-gram ends with a bound
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(own), pa.string()), pa.array(own, pa.string()), pa.array(n[i : i + 100_000], pa.int64())], names=["model", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
         for b in (part for batch in batches for part in slices(batch, size=16 << 20)):
             by: dict[str, list[str]] = {}
             for model, text in zip(b["own"].to_pylist(), b["text"].to_pylist(), strict=True):
-                by.setdefault(model, []).append(text)
+                if text:
+                    by.setdefault(model, []).append(text)
             for model, texts in by.items():
                 for part in _chunks(texts):
-                    points, _ = pointed(texts[part])
-                    ends = np.flatnonzero(points[LONG - 1 :]) + LONG - 1
-                    if not len(ends):
-                        continue
-                    keys = hashed(_mixed(points), slice(LONG - 1, len(points)), LONG)[ends - LONG + 1]
-                    keys, first, n = np.unique(keys, return_index=True, return_counts=True)
-                    held.setdefault(model, []).append((keys, n, np.stack([points[ends[first] - m] for m in range(LONG - 1, -1, -1)], axis=1)))
+                    held.setdefault(model, []).append(_counted(pointed(texts[part])[0]))
             if sum(len(x[0]) for own in held.values() for x in own) > HELD:
                 held = {model: [_summed(own)] for model, own in held.items()}
                 if sum(len(own[0][0]) for own in held.values()) > HELD // 2:
@@ -204,77 +185,6 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return modelled(docs).select("own", "text").mapInArrow(run, "model string, gram string, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(gram: np.ndarray, n: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 1: sorted n-grams, log probability, and log back-off weight of the n-gram as a context.
-
-    Modified Kneser-Ney: three discounts per order, from the counts of counts; below the highest order, an n-gram
-    counts the distinct symbols before it.
-    """
-    sort = np.argsort(gram)
-    keys, counts = [gram[sort]], [n[sort].astype(float)]
-    for k in range(order - 1, 0, -1):  # continuation counts
-        lower, c = np.unique(keys[0] & ((1 << k * BITS) - 1), return_counts=True)
-        keys.insert(0, lower)
-        counts.insert(0, c.astype(float))
-    out = []
-    below: np.ndarray | None = None
-    for k in range(1, order + 1):
-        key, c = keys[k - 1], counts[k - 1]
-        of = [max(int((c == i).sum()), 1) for i in range(1, 5)]
-        y = of[0] / (of[0] + 2 * of[1])
-        discount = np.array([0.0, *(min(max(i - (i + 1) * y * of[i] / of[i - 1], 0.05), i - 0.05) for i in (1, 2, 3))])
-        d = discount[np.minimum(c, 3).astype(int)]
-        context, at = np.unique(key >> BITS, return_inverse=True)
-        total, cut = np.bincount(at, c), np.bincount(at, d)
-        gamma = cut / total
-        lower = 1 / (1 << BITS) if below is None else below[np.searchsorted(keys[k - 2], key & ((1 << (k - 1) * BITS) - 1))]
-        p = (c - d) / total[at] + gamma[at] * lower
-        if k > 1:  # the contexts are n-grams of one order less; such as start a text are only contexts
-            key_b, p_b, _ = out[-1]
-            backoff = np.zeros(len(key_b))
-            i = np.minimum(np.searchsorted(key_b, context), len(key_b) - 1)
-            hit = key_b[i] == context
-            backoff[i[hit]] = np.log(gamma[hit])
-            extra = context[~hit]
-            merged = np.concatenate([key_b, extra])
-            o = np.argsort(merged, kind="stable")
-            out[-1] = (merged[o], np.concatenate([p_b, np.full(len(extra), np.nan)])[o], np.concatenate([backoff, np.log(gamma[~hit])])[o])
-        else:
-            floor = np.log(gamma[0] / (1 << BITS))
-        out.append((key, np.log(p), np.zeros(len(key))))
-        below = p
-    return [(key.astype(np.uint32), p.astype(np.float32), b.astype(np.float32)) for key, p, b in out] + [(np.zeros(1, np.uint32), np.array([floor], np.float32), np.zeros(1, np.float32))]
-
-
-def log_probabilities(full: np.ndarray, model: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Log probability of the last symbol of each n-gram, backing off where the n-gram was never seen."""
-    out = np.zeros(len(full), np.float32)
-    open_ = np.arange(len(out))
-    for k in range(ORDER, 0, -1):
-        key, p, _ = model[k - 1]
-        want = full[open_] & np.uint32((1 << k * BITS) - 1)
-        i = np.minimum(np.searchsorted(key, want), len(key) - 1)
-        hit = (key[i] == want) & ~np.isnan(p[i])
-        out[open_[hit]] += p[i[hit]]
-        open_, want = open_[~hit], want[~hit]
-        if k > 1 and len(open_):
-            key, _, backoff = model[k - 2]
-            context = want >> np.uint32(BITS)
-            i = np.minimum(np.searchsorted(key, context), len(key) - 1)
-            out[open_] += np.where(key[i] == context, backoff[i], 0)
-    out[open_] += model[-1][1][0]
-    return out
-
-
-def dense(model: list) -> np.ndarray:
-    """Log probability of every possible n-gram, seen or not, looked up once in the sorted arrays."""
-    out = np.empty(1 << ORDER * BITS, np.float32)
-    for at in range(0, len(out), step := 1 << 18):
-        g = np.arange(at, min(at + step, len(out)), dtype=np.uint32)
-        out[g] = log_probabilities(g, model)
-    return out
-
-
 MODEL = "model string, key long, p float, backoff float"
 
 
@@ -323,11 +233,36 @@ def fit(docs: DataFrame) -> DataFrame:
     return written(logs.mapInArrow(keyed, MODEL), "model")
 
 
-Arrays = tuple[np.ndarray, np.ndarray, np.ndarray]
+@dataclass(frozen=True)
+class Arrays:
+    """A model: sorted keys (hashes of n-grams), log probabilities and log back-off weights."""
+
+    keys: np.ndarray
+    p: np.ndarray
+    backoff: np.ndarray
+
+    @cached_property
+    def places(self) -> tuple[np.uint64, np.ndarray]:
+        """Where the keys with each value of their upper bits begin: as many values as keys, so a search is a step or two."""
+        bits = max(1, len(self.keys).bit_length() - 1)
+        shift = np.uint64(64 - bits)
+        return shift, np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int64)
+
+    def find(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A place for each wanted key, and whether the key is there."""
+        shift, first = self.places
+        top = len(self.keys) - 1
+        at = np.minimum(first[(want >> shift).astype(np.int64)], top)
+        behind = np.flatnonzero((self.keys[at] < want) & (at < top))
+        while len(behind):
+            at[behind] += 1
+            behind = behind[at[behind] < top]
+            behind = behind[self.keys[at[behind]] < want[behind]]
+        return at, self.keys[at] == want
 
 
 def arrays(rows: pa.Table) -> dict[str, Arrays]:
-    """Of each model, its sorted keys and what belongs to them."""
+    """The models of MODEL rows by name."""
     out: dict[str, Arrays] = {}
     coded_ = pc.dictionary_encode(pa.chunked_array(rows["model"].chunks, pa.string())).combine_chunks()
     which = coded_.indices.to_numpy(zero_copy_only=False)
@@ -336,7 +271,7 @@ def arrays(rows: pa.Table) -> dict[str, Arrays]:
     for i, name in enumerate(coded_.dictionary.to_pylist()):
         own = np.flatnonzero(which == i)
         own = own[np.argsort(keys[own])]
-        out[name] = keys[own], p[own], backoff[own]
+        out[name] = Arrays(keys[own], p[own], backoff[own])
     return out
 
 
@@ -351,22 +286,19 @@ def perplexities(texts: list[str], model: Arrays | None) -> np.ndarray:
 
 
 def _perplexities(texts: list[str], model: Arrays) -> np.ndarray:
-    keys, p, backoff = model
     points, starts = pointed(texts)
     mixed = _mixed(points)
     logs = np.zeros(len(points))
     ends: slice | np.ndarray = slice(LONG - 1, len(points))
     open_ = np.arange(LONG - 1, len(points))
     for k in range(LONG, -1, -1):  # backs off where an n-gram was never seen; order 0 is the empty context
-        want = hashed(mixed, ends, k)
-        i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        hit = (keys[i] == want) & ~np.isnan(p[i])
-        logs[open_[hit]] += p[i[hit]]
+        i, hit = model.find(hashed(mixed, ends, k))
+        hit &= ~np.isnan(model.p[i])
+        logs[open_[hit]] += model.p[i[hit]]
         open_ = ends = open_[~hit]
         if k:
-            want = hashed(mixed, open_ - 1, k - 1)
-            i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            logs[open_] += np.where(keys[i] == want, backoff[i], 0)
+            i, there = model.find(hashed(mixed, open_ - 1, k - 1))
+            logs[open_] += np.where(there, model.backoff[i], 0)
     logs[open_] -= np.log(UNIVERSE)
     sums = np.concatenate([[0], np.cumsum(logs)])
     n = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -388,20 +320,49 @@ def _measured(b: pa.RecordBatch, models: dict[str, Arrays], keep: list[str]) ->
     return pa.RecordBatch.from_arrays([*(b[c] for c in keep), *columns, failed, b["language"], pa.array(scores, mask=np.isnan(scores))], names=[*keep, *(x.split()[0] for x in MEASURES.split(", "))])
 
 
+def parts_of(sizes: dict[str, int], most: int) -> tuple[list[list[str]], list[str]]:
+    """Names of models in parts of at most ``most`` n-grams, and those of larger models."""
+    parts: list[list[str]] = [[]]
+    room = most
+    for name in sorted((x for x, n in sizes.items() if n <= most), key=lambda x: (-sizes[x], x)):
+        if sizes[name] > room:
+            parts.append([])
+            room = most
+        parts[-1].append(name)
+        room -= sizes[name]
+    return parts, sorted(x for x, n in sizes.items() if n > most)
+
+
 def measure(docs: DataFrame, model: DataFrame, most: int = MOST_NGRAMS) -> DataFrame:
-    """doc_id (if there is one) and MEASURES of every document, under MODEL rows."""
+    """doc_id (if there is one) and MEASURES of every document, under written MODEL rows; written, too.
+
+    Each part of the models is sent with the texts that it scores, so every text is scored once, whatever the number of
+    parts; a part is dropped from the executors before the next is sent.
+    """
     rows = modelled(docs).drop("own")
     keep = [c for c in rows.columns if c == "doc_id"]
     schema = ", ".join([*(f"{c} long" for c in keep), MEASURES])
-    if model.count() > most:
-        return _measure_joined(rows, model, keep, schema)
-    sent = docs.sparkSession.sparkContext.broadcast(arrays(model.toArrow()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch)):
-            yield _measured(b, sent.value, keep)
-
-    return rows.mapInArrow(run, schema)
+    counted = model.groupBy("model").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        return written(_measure_joined(rows, model, keep, schema), "measured")
+    parts, large = parts_of({r["model"]: r["n"] for r in counted}, most)
+    sent_names = [name for part in parts for name in part]
+    out = None
+    for i, part in enumerate(parts):
+        own = F.col("other").isin(part)
+        mine = ~F.col("other").isin(sent_names[len(part) :] + large) if i == 0 else own  # texts without a model go with the first part
+        sent = docs.sparkSession.sparkContext.broadcast(arrays(model.filter(F.col("model").isin(part)).toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in (x for batch in batches for x in slices(batch)):
+                yield _measured(b, sent.value, keep)
+
+        measured = written(rows.filter(mine).mapInArrow(run, schema), "measured")
+        sent.destroy()
+        out = measured if out is None else out.unionByName(measured)
+    if large:
+        out = out.unionByName(written(_measure_joined(rows.filter(F.col("other").isin(large)), model, keep, schema), "measured"))
+    return out
 
 
 def _measure_joined(rows: DataFrame, model: DataFrame, keep: list[str], schema: str) -> DataFrame:
@@ -441,7 +402,7 @@ def bands(measured: DataFrame, widen: float) -> DataFrame:
 
 def judge(docs: DataFrame, widen: float = 2.0) -> DataFrame:
     """doc_id, MEASURES, low, high and kept for every document."""
-    measured = written(measure(docs, fit(docs)), "measured")
+    measured = measure(docs, fit(docs))
     limits = written(bands(measured, widen), "bands")
     few = limits.count() <= MOST_LANGUAGES
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))

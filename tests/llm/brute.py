@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -79,6 +80,38 @@ def rules(text):
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed
 
 
+def kneser_ney(texts, order=5, universe=0x110000):
+    """A function from a text to its mean negative log probability by character, by plain dictionaries."""
+    padded = ["\0" * (order - 1) + t.replace("\0", "\1") for t in texts]
+    counts = {order: Counter(t[i - order + 1 : i + 1] for t in padded for i in range(order - 1, len(t)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    p, gamma = {0: {"": 1 / universe}}, {}
+    for k in range(1, order + 1):
+        of = [max(sum(c == i for c in counts[k].values()), 1) for i in range(1, 5)]
+        y = of[0] / (of[0] + 2 * of[1])
+        d = [min(max(i - (i + 1) * y * of[i] / of[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
+        total, cut = Counter(), Counter()
+        for g, c in counts[k].items():
+            total[g[:-1]] += c
+            cut[g[:-1]] += d[min(c, 3) - 1]
+        gamma[k] = {x: cut[x] / total[x] for x in total}
+        p[k] = {g: (c - d[min(c, 3) - 1]) / total[g[:-1]] + gamma[k][g[:-1]] * p[k - 1][g[1:]] for g, c in counts[k].items()}
+
+    def score(text):
+        t, out = "\0" * (order - 1) + text.replace("\0", "\1"), 0.0
+        for i in range(order - 1, len(t)):
+            for k in range(order, -1, -1):
+                g = t[i - k + 1 : i + 1]
+                if g in p[k]:
+                    out += math.log(p[k][g])
+                    break
+                out += math.log(gamma[k].get(g[:-1], 1)) if k else math.log(1 / universe)
+        return -out / max(len(text), 1)
+
+    return score
+
+
 def shingles(text, k):
     w = WORD.findall(lower(text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())

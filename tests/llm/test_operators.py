@@ -312,16 +312,37 @@ def test_counts(docs, none):
     assert got == {i: brute.rules(t) for i, t in cases()} and quality_rules.judge(none).count() == 0
 
 
-def test_probabilities_sum_to_one():
+def test_perplexities_are_those_of_a_plain_model(spark):
+    rng = random.Random(5)
+    texts = [words(rng, rng.randint(0, 40)) + rng.choice(["", " é\0日本", "\n😀x"]) for _ in range(40)] + [None, "", "twin text", "twin text"]
+    df = spark.createDataFrame([(i if i % 7 else None, t, f"l{i % 3}") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    by: dict = {}
+    for r in quality_rules.modelled(df).collect():
+        by.setdefault(r.own, []).append(r)
+    models = {name: brute.kneser_ney([r.text for r in rows]) for name, rows in by.items()}
+    want = sorted((r.doc_id or -1, 0 if not r.text else round(models[r.other](r.text), 4)) for rows in by.values() for r in rows)
+    fitted = quality_rules.fit(df)
+    for most in (1 << 20, 700, 0):
+        got = sorted((r.doc_id or -1, round(r.log_perplexity, 4)) for r in quality_rules.measure(df, fitted, most).collect())
+        assert [x[0] for x in got] == [x[0] for x in want] and max(abs(a[1] - b[1]) for a, b in zip(got, want, strict=True)) < 2e-4, (most, got, want)
+
+
+def test_many_letters_and_many_languages(spark):
     import numpy as np
 
-    texts = [words(random.Random(i), 300) for i in range(3)]
-    codes, _ = quality_rules.coded(texts)
-    found, n = np.unique(quality_rules.grams(codes)[codes[2:] > 0], return_counts=True)
-    model = quality_rules.kneser_ney(found.astype(np.int64), n)
-    table = quality_rules.dense(model)
-    for context in [int(x) >> 7 for x in found[::50]] + [12345]:
-        assert abs(np.exp(table[(context << 7) + np.arange(128)].astype(float)).sum() - 1) < 1e-3
+    text = "".join(chr(0x4E00 + i % 5000) for i in range(12_000))
+    points, _ = quality_rules.pointed([text, "ab", text])
+    keys, n, grams = quality_rules._counted(points)
+    plain: dict = {}
+    for t in (text, "ab", text):
+        padded = "\0" * 4 + t
+        for i in range(4, len(padded)):
+            plain[padded[i - 4 : i + 1]] = plain.get(padded[i - 4 : i + 1], 0) + 1
+    assert {bytes(g.tobytes()).decode("utf-32-le"): int(k) for g, k in zip(grams, n, strict=True)} == plain and len(np.unique(keys)) == len(keys)
+    assert quality_rules.parts_of({"a": 5, "b": 9, "c": 4, "d": 1, "e": 30}, 10) == ([["b"], ["a", "c", "d"]], ["e"])
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, words(rng, 60), f"lang{i % 300}") for i in range(900)], "doc_id long, text string, lang string")
+    assert quality_rules.judge(df).count() == 900
 
 
 def test_bands_reject_what_is_unlike_its_language(spark):
@@ -353,7 +374,7 @@ def test_the_long_model(spark):
     model = quality_rules.fit(df).persist()
     sent, joined = (sorted((r.doc_id or -1, r.n_words, round(r.log_perplexity, 6) if r.log_perplexity is not None else -1) for r in quality_rules.measure(df, model, most).collect()) for most in (1 << 20, 0))
     assert sent == joined and sent[0] == (-1, 0, 0) and sent[-1] == (99, 1, -1) and all(x > 0 for *_, x in sent[1:-1])
-    name, own = max(quality_rules.arrays(model.toArrow()).items(), key=lambda x: len(x[1][0]))
+    name, own = max(quality_rules.arrays(model.toArrow()).items(), key=lambda x: len(x[1].keys))
     letters = sorted(set(" é\1日本abcdefghij0123456789"))
     for context in ("", "a", "aa1 ", "é", "本本本本", "zzzz"):
         texts = [context, *(context + c for c in letters), context + "Z"]
@@ -372,7 +393,9 @@ def test_components_of_near_copies(docs, none):
     assert jaccard_join.join_documents(none).count() == 0
 
 
-def test_large_groups_lose_no_link(spark):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_large_groups_lose_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(8)
     base = words(rng, 150, 500).split()
     texts = []
@@ -391,6 +414,18 @@ def test_large_groups_lose_no_link(spark):
     assert by_id(jaccard_join.join_documents(df, 3, 90), "n_shingles", "component_id") == brute.components(texts, 3, 90)
 
 
+def test_links_through_documents_without_an_id(spark):
+    w = words(random.Random(3), 60, 500).split()
+    change = lambda *at: " ".join(f"new{i}" if i in at else x for i, x in enumerate(w))
+    rows = [(1, change(), 10), (None, change(0), 11), (2, change(0, 59), 12), (2, "something else " * 9, 13), (5, None, 14), (5, "", 15), (7, change(), 16), (7, change(), 17)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node long").withColumn("digest", F.lit("clash"))
+    texts = {r[2]: r[1] for r in rows}
+    plain = brute.components(list(texts.items()), 3, 95)
+    assert plain[12][1] == plain[10][1] == 10 and not jaccard_join.linked(*(jaccard_join.token_sets([texts[i]], 3)[0] for i in (10, 12)), 95)
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.join_documents(df, 3, 95).collect())
+    assert got == sorted([(1, 58, 1), (-1, 58, 1), (2, 58, 1), (2, plain[13][0], 2), (5, 0, 5), (5, 0, 5), (7, 58, 1), (7, 58, 1)])
+
+
 def test_connected_components(spark):
     rng = random.Random(0)
     edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(30)]
