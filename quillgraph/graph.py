@@ -61,8 +61,8 @@ class PropertyGraph:
     def live_nodes(self, label: str | None = None) -> DataFrame:
         """Nodes that are not deleted, with a label if one is given (any of a node's labels counts)."""
         if label is None:
-            keep = [(k, v) for k, v in self.node_views.items() if k is None or self.id_of_label is None or self.id_of_label(k) is not None]
-            return self._union([self._live(v) for _, v in keep])
+            keep = [k for k in self.node_views if k is None or self.id_of_label is None or self.id_of_label(k) is not None]
+            return self._union([self._live(self.node_views[k]) for k in keep])
         if label in self.node_views:
             return self._live(self.node_views[label])
         if None not in self.node_views:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..types import revision_before
+from .journal import winners
 from .traverse import oriented
 
 
@@ -37,22 +37,34 @@ def missing_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 LOG_ACTIONS = ("insert", "delete")
 
 
+def outgoing_entries(log: DataFrame, id: str, type: str | None = None) -> DataFrame:
+    """A log's entries whose edges leave a node, in order."""
+    return _entries(log, "from_id", id, type)
+
+
+def incoming_entries(log: DataFrame, id: str, type: str | None = None) -> DataFrame:
+    """A log's entries whose edges end at a node, in order."""
+    return _entries(log, "to_id", id, type)
+
+
+def _entries(log: DataFrame, end: str, id: str, type: str | None) -> DataFrame:
+    rows = log.filter(F.col(end) == id)
+    return (rows if type is None else rows.filter(F.col("type") == type)).orderBy("position")
+
+
 def overlay(base: DataFrame, log: DataFrame) -> DataFrame:
     """Edges of ``base`` with a log (id, from_id, to_id, type, action, revision, position) laid over it.
 
-    For each edge, the log's entries are folded in order of position, a later one winning unless its revision is
-    before the winner's. A surviving delete hides the base edge; surviving inserts replace it or follow the base's
-    edges in order of their first position. Returns (id, from_id, to_id, type, seq).
+    For each edge, the log's entries are folded in order of position (see ``journal.winners``). A surviving delete hides
+    the base edge; surviving inserts replace it or follow the base's edges in order of their first position. The result
+    has the base's columns: those that the log has too come from the winning entry, the others stay as they are.
     """
-    entry = F.struct("position", "from_id", "to_id", "type", "action", "revision")
-    folded = log.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("es"))
-    winner = F.aggregate(F.slice("es", 2, 1 << 30), F.element_at("es", 1), lambda a, e: F.when(revision_before(e["revision"], a["revision"]), a).otherwise(e))
-    won = folded.select("id", winner.alias("w"), F.element_at("es", 1)["position"].alias("first"))
-    kept = base.select("id", "from_id", "to_id", "type", "seq").join(won.select("id"), "id", "left_anti")
-    top = base.select("id", F.col("seq").alias("base_seq"))
-    inserts = won.filter("w.action = 'insert'").join(top, "id", "left")
-    order = F.when(F.col("base_seq").isNotNull(), F.col("base_seq")).otherwise(F.lit(1 << 62) + F.col("first"))
-    return kept.unionByName(inserts.select("id", "w.from_id", "w.to_id", "w.type", order.alias("seq")))
+    won = winners(log, ["id"], "position")
+    kept = base.join(won.select("id"), "id", "left_anti").select(base.columns)
+    both = won.filter("action = 'insert'").alias("w").join(base.alias("b"), F.col("w.id") == F.col("b.id"), "left")
+    order = F.when(F.col("b.seq").isNotNull(), F.col("b.seq")).otherwise(F.lit(1 << 62) + F.col("w.first"))
+    columns = [order.alias("seq") if c == "seq" else F.col(f"w.{c}" if c in won.columns else f"b.{c}").alias(c) for c in base.columns]
+    return kept.unionByName(both.select(*columns))
 
 
 def should_compact(log_entries: int, nodes: int, factor: int = 4) -> bool:
@@ -61,6 +73,6 @@ def should_compact(log_entries: int, nodes: int, factor: int = 4) -> bool:
 
 
 def compact(base: DataFrame, log: DataFrame) -> DataFrame:
-    """The base with the log folded in, numbered anew; the caller writes it and starts an empty log."""
+    """The base with the log folded in, all its columns kept, numbered anew; the caller writes it and starts an empty log."""
     rows = overlay(base, log)
     return rows.orderBy("seq", "id").withColumn("seq", F.monotonically_increasing_id())

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..types import EDGES, NODES, REVISION, ZERO_ACTOR, revision_before, schema
@@ -34,30 +34,48 @@ def tail(journal: DataFrame, after: int = 0) -> DataFrame:
     return journal.filter(F.col("sequence") > after).orderBy("sequence")
 
 
+def count(journal: DataFrame) -> DataFrame:
+    """How many changes there are."""
+    return journal.agg(F.count("*").alias("n"))
+
+
 def latest_row(journal: DataFrame, kind: str, id: str) -> DataFrame:
     """The newest row of one entity (0 or 1 rows)."""
     own = journal.filter((F.col("entity_kind") == kind) & (F.col("entity_id") == id))
     return own.orderBy(F.col("sequence").desc()).limit(1)
 
 
+def winners(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per key: the winner of its history in the order of a column, with ``first``, where the history begins.
+
+    A later row wins unless its revision is before the winner's. Between several actors that relation has cycles, so the
+    rows of a key are folded in order. Before that, runs of rows of one actor whose counters and clocks do not fall are
+    cut down to their last row, which beats whatever any of them beats; so a key's array has as many entries as its
+    actors took turns, however long its history is.
+    """
+    own = Window.partitionBy(*keys).orderBy(order)
+    now, then = F.col("revision"), F.lead("revision").over(own)
+    goes_on = (then["actor_id"] == now["actor_id"]) & (then["counter"] >= now["counter"]) & (then["wall_clock"] >= now["wall_clock"])
+    first = F.first(order).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = rows.withColumns({"first": first, "_goes_on": F.coalesce(goes_on, F.lit(False))}).filter("not _goes_on").drop("_goes_on")
+    entry = F.struct(order, "revision", *(c for c in rows.columns if c not in (*keys, order, "revision")))
+    by_order = lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)
+    history = last.groupBy(*keys).agg(F.array_sort(F.collect_list(entry), by_order).alias("h"), F.min("first").alias("first"))
+    winner = F.aggregate(F.slice("h", 2, 1 << 30), F.element_at("h", 1), lambda a, e: F.when(revision_before(e["revision"], a["revision"]), a).otherwise(e))
+    return history.select(*keys, "first", winner.alias("w")).select(*keys, "first", "w.*")
+
+
 def fold(journal: DataFrame, one_actor: bool = False) -> DataFrame:
-    """One row per entity: the winner of its history, and ``first_sequence``.
+    """One row per entity: the winner of its history (see ``winners``), and ``first_sequence``.
 
-    A later row wins unless its revision is before the winner's. Between several actors that relation has cycles, so
-    the rows of an entity are folded in the journal's order. With one actor the newest row wins, which Spark combines
-    before the shuffle.
+    With one actor the newest row wins, which Spark combines before the shuffle.
     """
-    rest = [c for c in journal.columns if c not in ("entity_kind", "entity_id", "sequence", "revision")]
-    entry = F.struct("sequence", "revision", *rest)
-    groups = journal.groupBy("entity_kind", "entity_id")
-    if one_actor:
-        won = groups.agg(F.max_by(entry, F.struct(F.col("revision.counter"), F.col("sequence"))).alias("w"), F.min("sequence").alias("first_sequence"))
-    else:
-        by_sequence = lambda a, b: F.when(a["sequence"] < b["sequence"], -1).when(a["sequence"] > b["sequence"], 1).otherwise(0)
-        history = groups.agg(F.array_sort(F.collect_list(entry), by_sequence).alias("h"), F.min("sequence").alias("first_sequence"))
-        winner = F.aggregate(F.slice("h", 2, 1 << 30), F.element_at("h", 1), lambda a, e: F.when(revision_before(e["revision"], a["revision"]), a).otherwise(e))
-        won = history.select("entity_kind", "entity_id", "first_sequence", winner.alias("w"))
-    return won.select("entity_kind", "entity_id", "first_sequence", "w.*")
+    keys = ["entity_kind", "entity_id"]
+    if not one_actor:
+        return winners(journal, keys, "sequence").withColumnRenamed("first", "first_sequence")
+    entry = F.struct("sequence", "revision", *(c for c in journal.columns if c not in (*keys, "sequence", "revision")))
+    won = journal.groupBy(*keys).agg(F.max_by(entry, F.struct(F.col("revision.counter"), F.col("sequence"))).alias("w"), F.min("sequence").alias("first_sequence"))
+    return won.select(*keys, "first_sequence", "w.*")
 
 
 def nodes_of(state: DataFrame) -> DataFrame:

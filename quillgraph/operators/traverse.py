@@ -6,7 +6,7 @@ that are deleted are walked through and drop out when nodes are looked up.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -14,8 +14,10 @@ from ..plans.lineage import cut
 DIRECTIONS = ("out", "in", "both")
 #: Up to so many hops are one lazy plan; each hop mentions the hops before it twice, so more are cut hop by hop.
 LAZY_HOPS = 3
-#: What a search of unlimited depth may take at most, as a guard against running forever.
+#: What a search may take at most, as a guard against running forever: beyond it the search fails, and says so.
 MOST_HOPS = 100_000
+#: After so many hops, the nodes seen so far are written as one table, so that plans stay short.
+KEPT_HOPS = 8
 
 
 def oriented(edges: DataFrame, direction: str, *carry: str) -> DataFrame:
@@ -27,10 +29,6 @@ def oriented(edges: DataFrame, direction: str, *carry: str) -> DataFrame:
     return {"out": along, "in": against}.get(direction) or along.unionByName(against)
 
 
-def step_key() -> Column:
-    return F.struct("turn", "seq")
-
-
 def reach(start: DataFrame, edges: DataFrame, direction: str, max_depth: int | None) -> DataFrame:
     """(id, hop) of the nodes that ``start`` (id) reaches in at most so many hops."""
     steps = oriented(edges, direction)
@@ -40,7 +38,6 @@ def reach(start: DataFrame, edges: DataFrame, direction: str, max_depth: int | N
     lazy = max_depth is not None and max_depth <= LAZY_HOPS
     if not lazy:
         frontier = seen = cut(seen)
-    found = None
     for hop in range(1, (max_depth or MOST_HOPS) + 1):
         ahead = frontier.select(F.col("id").alias("src")).join(steps, "src").select(F.col("dst").alias("id")).distinct()
         frontier = ahead.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
@@ -49,30 +46,36 @@ def reach(start: DataFrame, edges: DataFrame, direction: str, max_depth: int | N
             if frontier.isEmpty():
                 break
         seen = seen.unionByName(frontier)
-        found = frontier if found is None else found.unionByName(frontier)
+        if not lazy and hop % KEPT_HOPS == 0:
+            seen = cut(seen, "seen")
     else:
         if max_depth is None:
             raise RuntimeError(f"no end after {MOST_HOPS} hops")
-    return frontier.limit(0) if found is None else found
+    return seen.filter("hop > 0")
 
 
 def reach_in_order(start: DataFrame, edges: DataFrame, direction: str, max_depth: int | None) -> DataFrame:
-    """(id, hop, path): as ``reach``, for when the order of discovery is visible.
+    """(id, hop, rank): as ``reach``, for when the order of discovery is visible, which is that of (hop, rank).
 
-    Nodes are discovered by (hop, path), where a path is the start's place and the steps taken since. Comparing paths
-    replaces a global numbering of every hop's nodes, which would need all of them in one task.
+    A hop's nodes are ranked by their predecessor's rank and the step taken. The ranks are increasing, not consecutive:
+    they come from a range sort, so that no task numbers a whole hop.
     """
     steps = oriented(edges, direction)
-    place = F.struct(F.lit(0).alias("turn"), F.col("seq").alias("seq"))
-    seen = frontier = cut(start.groupBy("id").agg(F.min("seq").alias("seq")).select("id", F.lit(0).alias("hop"), F.array(place).alias("path")))
-    found = frontier.limit(0)
+    ranked = lambda df, *order: cut(df.orderBy(*order, "id").select("id", "hop", F.monotonically_increasing_id().alias("rank")))
+    seen = frontier = ranked(start.groupBy("id").agg(F.min("seq").alias("seq")).withColumn("hop", F.lit(0)), "seq")
     for hop in range(1, (MOST_HOPS if max_depth is None else max_depth) + 1):
-        ahead = frontier.select(F.col("id").alias("src"), "path").join(steps, "src").select(F.col("dst").alias("id"), F.concat("path", F.array(step_key())).alias("path"))
-        frontier = cut(ahead.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")).select("id", F.lit(hop).alias("hop"), "path"))
+        ahead = frontier.select(F.col("id").alias("src"), "rank").join(steps, "src").select(F.col("dst").alias("id"), F.struct("rank", "turn", "seq").alias("came"))
+        fresh = ahead.join(seen, "id", "left_anti").groupBy("id").agg(F.min("came").alias("came")).withColumn("hop", F.lit(hop))
+        frontier = ranked(fresh, "came")
         if frontier.isEmpty():
             break
-        seen, found = seen.unionByName(frontier), found.unionByName(frontier)
-    return found
+        seen = seen.unionByName(frontier)
+        if hop % KEPT_HOPS == 0:
+            seen = cut(seen, "seen")
+    else:
+        if max_depth is None:
+            raise RuntimeError(f"no end after {MOST_HOPS} hops")
+    return seen.filter("hop > 0")
 
 
 def scanned_edges(start: DataFrame, edges: DataFrame, direction: str, max_depth: int | None) -> DataFrame:

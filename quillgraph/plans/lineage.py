@@ -1,18 +1,63 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, in the shared folder that the cluster names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder that the session names; sets one in the warehouse only where none is set (as in tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a local session (as in tests) gets one in its warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: an iteration's plan stays one hop long, and lost executors take nothing with them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+
+def session_dir(spark: SparkSession) -> str:
+    """What this session writes there; ``release`` deletes it."""
+    return f"{shared_dir(spark)}/quillgraph-{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame, name: str = "hop") -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back.
+
+    An iteration's plan stays one step long, lost executors take nothing with them, nothing is computed twice, and the
+    next step knows the size of what it reads.
+    """
+    spark = df.sparkSession
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this session has written into the shared folder. For when every result that reads it has been saved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def beside(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A written table for the small side of a join: sent to all executors up to ``most`` rows, hashed beyond that."""
+    return df.hint("broadcast" if df.count() <= most else "shuffle_hash")
+
+
+def numbered(df: DataFrame, *order: Column | str, after: int = 0, name: str = "number") -> tuple[DataFrame, int]:
+    """``df`` with a column of consecutive numbers behind ``after`` in the given order, and how many rows there are.
+
+    Sorted by range and numbered within tasks; the driver adds up one count for each task, so no task sees all rows.
+    """
+    low = (1 << 33) - 1  # the place in its task of a monotonically increasing id
+    placed = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    counts = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r["_part"], after + total))
+        total += r["n"]
+    first = df.sparkSession.createDataFrame(starts, "_part bigint, _first bigint")
+    rows = placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(first), "_part")  # a row for each task
+    return rows.withColumn(name, F.col("_first") + F.col("_at").bitwiseAND(F.lit(low)) + 1).drop("_part", "_first", "_at"), total

@@ -14,7 +14,7 @@ from .functions.properties import Properties
 from .graph import PropertyGraph
 from .operators import adjacency, journal
 from .operators.merge import MAP, field_level, local_wins, resolve_changes
-from .sources.mapping import acquaintances, commerce, event_chains
+from .sources.mapping import acquaintances, commerce, event_chains, lattice, read_table
 from .types import prop_struct
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,9 +174,33 @@ def where_contains(spark, d):
     return _ids(commerce(spark, d).nodes("Part").where("name", contains="AN").to_df())
 
 
-@query("SELECT 'part:' || p_partkey AS id FROM part WHERE contains(lower(p_name), '%_')")
+@query("SELECT 'part:' || p_partkey AS id FROM part WHERE p_size % 7 = 3")
 def where_contains_special(spark, d):
-    return _ids(commerce(spark, d).nodes("Part").where("name", contains="%_").to_df())
+    parts = commerce(spark, d).live_nodes("Part").withColumn("title__string", F.concat(F.col("name__string"), F.when(F.col("size__int") % 7 == 3, " 100%_OFF\\").otherwise(" 100 off")))
+    return _ids(PropertyGraph(spark, {"Part": parts}, {}).nodes("Part").where("title", contains="0%_off\\").to_df())
+
+
+@query("SELECT 'part:' || p_partkey AS id FROM part WHERE contains(lower(p_name), 'an') AND p_size > 10")
+def where_contains_sequential(spark, d):
+    return _ids(commerce(spark, d).nodes("Part").where("size", gt=10).where("name", contains="AN").to_df())
+
+
+def _odd_keys(spark: SparkSession, d: str) -> PropertyGraph:
+    """Parts with one property whose key has marks, in the map."""
+    parts = commerce(spark, d).live_nodes("Part")
+    properties = F.map_from_arrays(F.array(F.lit("size's `a.b` $.x")), F.array(prop_struct("int", F.col("size__int"))))
+    return PropertyGraph(spark, {"Part": parts.select("id", "labels", "label", "seq", properties.alias("properties"))}, {})
+
+
+@query("SELECT 'part:' || p_partkey AS id FROM part WHERE p_size >= 40")
+def where_key_as_it_is(spark, d):
+    return _ids(_odd_keys(spark, d).nodes("Part").where("size's `a.b` $.x", ">=", 40).to_df())
+
+
+@query("SELECT 'customer:' || c_custkey AS id, 'Customer' AS label, c_name AS name, c_nationkey AS nation, c_acctbal AS acctbal, c_mktsegment AS segment, c_custkey AS seq FROM customer WHERE c_nationkey = 7")
+def whole_rows(spark, d):
+    rows = commerce(spark, d).nodes("Customer").where("nationkey", "=", 7).to_df()
+    return rows.select("id", F.array_max(F.array_intersect("labels", F.array(F.lit("Customer")))).alias("label"), F.col("name__string").alias("name"), F.col("nationkey__int").alias("nation"), F.col("acctbal__double").alias("acctbal"), F.col("mktsegment__string").alias("segment"), "seq")
 
 
 @query(_CUSTOMERS + "c_acctbal * 2 > 10000 AND c_nationkey % 2 = 0")
@@ -318,6 +342,29 @@ def edge_aggregates(spark, d):
     return out.drop("one")
 
 
+@query("SELECT 'IN_REGION' AS type, count(*) AS n FROM nation UNION ALL SELECT 'IN_NATION', count(*) FROM customer UNION ALL SELECT 'SUPPLIES_FROM', count(*) FROM supplier UNION ALL SELECT 'PLACED', count(*) FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem")
+def edge_scan(spark, d):
+    return commerce(spark, d).edges().unordered().groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id FROM (SELECT 'placed:' || o_orderkey AS id, o_orderkey FROM orders WHERE o_totalprice > 50000 ORDER BY o_totalprice, o_orderkey LIMIT 30) ORDER BY id LIMIT 30")
+def edge_sequential_sort_limit(spark, d):
+    return _ids(commerce(spark, d).edges("PLACED").where(lambda p: p.number("totalprice") > 50000).sorted("totalprice").limit(30).to_df())
+
+
+@query("SELECT 'placed:' || o_orderkey AS id FROM orders WHERE o_totalprice > 100000 ORDER BY o_totalprice, o_orderkey LIMIT 1")
+def first_edge(spark, d):
+    row = commerce(spark, d).edges("PLACED").where("totalprice", ">", 100000.0).sorted("totalprice").first()
+    return spark.createDataFrame([(row["id"],)] if row else [], "id string")
+
+
+@query("SELECT 'customer:' || c_custkey AS id, count(o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 7 GROUP BY c_custkey")
+def sql_views(spark, d):
+    g = commerce(spark, d)
+    PropertyGraph(spark, {"Customer": g.node_views["Customer"]}, {"PLACED": g.edge_views["PLACED"]}).register("commerce")
+    return spark.sql("SELECT n.id, count(*) AS n FROM commerce_nodes n JOIN commerce_edges e ON e.from_id = n.id WHERE n.nationkey__int = 7 GROUP BY n.id")
+
+
 # traversal
 
 _KNOWS = "knows AS (SELECT c_custkey AS a, (c_custkey * m + k) % (SELECT count(*) FROM customer) AS b, slot FROM customer, (VALUES (7, 3, 0), (11, 5, 1), (13, 1, 2)) v(m, k, slot))"
@@ -356,8 +403,8 @@ def traverse_cycle_5(spark, d):
 @query("WITH s AS (SELECT min_by(event_id, (ts, event_id)) AS e, user_id FROM events WHERE user_id IN (SELECT min(user_id) FROM events) GROUP BY user_id) SELECT 'event:' || event_id AS id FROM events JOIN s USING (user_id) WHERE event_id <> e")
 def traverse_unlimited(spark, d):
     g = event_chains(spark, d)
-    user = spark.read.parquet(f"{d}/events.parquet").agg(F.min("user_id").alias("u"))
-    first = spark.read.parquet(f"{d}/events.parquet").join(user, F.col("user_id") == F.col("u")).agg(F.min_by("event_id", F.struct("ts", "event_id"))).first()[0]
+    user = read_table(spark, d, "events").agg(F.min("user_id").alias("u"))
+    first = read_table(spark, d, "events").join(user, F.col("user_id") == F.col("u")).agg(F.min_by("event_id", F.struct("ts", "event_id"))).first()[0]
     return _ids(g.node(f"event:{first}").traverse("out", "NEXT", None).to_df())
 
 
@@ -393,27 +440,74 @@ def collect_with_edges_both(spark, d):
 
 # paths
 
-def _paths_sql(depth: int, target: int) -> str:
-    return f"""WITH RECURSIVE {_KNOWS}, p AS (SELECT CAST(17 AS BIGINT) AS pos, [CAST(17 AS BIGINT)] AS nodes, CAST([] AS VARCHAR[]) AS edges, CAST([] AS BIGINT[]) AS seqs
-UNION ALL SELECT b, list_append(nodes, b), list_append(edges, 'knows:' || a || ':' || slot), list_append(seqs, a * 3 + slot) FROM p JOIN knows ON a = pos WHERE len(edges) < {depth} AND pos <> {target} AND NOT list_contains(nodes, b))"""
+#: Keys of customers some steps of different slots away from customer 17, whatever their number.
+_AWAY = {0: "17"}
+for _hop, (_m, _k) in enumerate(((7, 3), (11, 5), (13, 1), (7, 3)), 1):
+    _AWAY[_hop] = f"(({_AWAY[_hop - 1]} * {_m} + {_k}) % (SELECT count(*) FROM customer))"
 
 
-@query(_paths_sql(6, 40) + " SELECT len(edges) AS length, array_to_string(nodes, ',') AS nodes FROM p WHERE pos = 40 ORDER BY len(edges), seqs LIMIT 1")
-def shortest_path(spark, d):
-    g = acquaintances(spark, d)
+def _away(spark: SparkSession, d: str, hops: int) -> str:
+    n, at = read_table(spark, d, "customer").count(), 17
+    for m, k in ((7, 3), (11, 5), (13, 1), (7, 3))[:hops]:
+        at = (at * m + k) % n
+    return f"customer:{at}"
+
+
+def _paths_sql(start: str, target: str, depth: int, steps: str) -> str:
+    """Simple paths by plain recursion over ``steps`` (a, b, edge, seq)."""
+    return f"""WITH RECURSIVE {steps}, p AS (SELECT CAST({start} AS BIGINT) AS pos, [CAST({start} AS BIGINT)] AS nodes, CAST([] AS VARCHAR[]) AS edges, CAST([] AS BIGINT[]) AS seqs
+UNION ALL SELECT b, list_append(nodes, b), list_append(edges, edge), list_append(seqs, seq) FROM p JOIN steps ON a = pos WHERE len(edges) < {depth} AND pos <> {target} AND NOT list_contains(nodes, b))"""
+
+
+_KNOWN = f"{_KNOWS}, steps AS (SELECT a, b, 'knows:' || a || ':' || slot AS edge, a * 3 + slot AS seq FROM knows)"
+_LATTICE = "steps AS (SELECT c_custkey AS a, c_custkey + way AS b, kind || ':' || c_custkey AS edge, c_custkey * 2 + slot AS seq FROM customer, (VALUES ('right', 1, 0), ('down', 10, 1)) v(kind, way, slot))"
+_FIRST = " SELECT len(edges) AS length, array_to_string(nodes, ',') AS nodes, array_to_string(edges, ',') AS edges FROM p WHERE pos = {} ORDER BY len(edges), seqs LIMIT 1"
+_EACH = " SELECT len(edges) AS length, array_to_string(nodes, ',') AS nodes, array_to_string(edges, ',') AS edges FROM p WHERE pos = {}"
+
+
+def _path_rows(df: DataFrame) -> DataFrame:
     keys = F.transform("node_ids", lambda x: F.replace(x, F.lit("customer:"), F.lit("")))
-    return g.shortest_path("customer:17", "customer:40", "KNOWS").select(F.col("length").cast("long").alias("length"), F.array_join(keys, ",").alias("nodes"))
+    return df.select(F.col("length").cast("long").alias("length"), F.array_join(keys, ",").alias("nodes"), F.array_join("edge_ids", ",").alias("edges"))
+
+
+@query(_paths_sql("17", _AWAY[4], 4, _KNOWN) + _FIRST.format(_AWAY[4]))
+def shortest_path(spark, d):
+    return _path_rows(acquaintances(spark, d).shortest_path("customer:17", _away(spark, d, 4), "KNOWS"))
+
+
+@query(_paths_sql("12", "45", 6, _LATTICE) + _FIRST.format(45))
+def shortest_path_among_equals(spark, d):
+    return _path_rows(lattice(spark, d).shortest_path("customer:12", "customer:45"))
 
 
-@query(_paths_sql(5, 40) + " SELECT array_to_string(edges, ',') AS edges, len(edges) AS length FROM p WHERE pos = 40")
+@query("SELECT 0 AS length WHERE false")
+def shortest_path_backwards(spark, d):
+    return lattice(spark, d).shortest_path("customer:45", "customer:12").select("length")
+
+
+@query("SELECT 0 AS length, '12' AS nodes, '' AS edges")
+def shortest_path_to_itself(spark, d):
+    return _path_rows(lattice(spark, d).shortest_path("customer:12", "customer:12"))
+
+
+@query(_paths_sql("17", _AWAY[3], 5, _KNOWN) + _EACH.format(_AWAY[3]))
 def all_paths(spark, d):
-    g = acquaintances(spark, d)
-    return g.all_paths("customer:17", "customer:40", 5, "KNOWS").select(F.array_join("edge_ids", ",").alias("edges"), F.col("length").cast("long").alias("length"))
+    return _path_rows(acquaintances(spark, d).all_paths("customer:17", _away(spark, d, 3), 5, "KNOWS"))
+
+
+@query(_paths_sql("12", "45", 6, _LATTICE) + _EACH.format(45))
+def all_paths_among_equals(spark, d):
+    return _path_rows(lattice(spark, d).all_paths("customer:12", "customer:45", 6))
+
+
+@query(_paths_sql("12", "15", 6, _LATTICE) + " SELECT count(*) AS n FROM p WHERE pos = 15 AND edges[1] LIKE 'right%'")
+def all_paths_by_type(spark, d):
+    return lattice(spark, d).all_paths("customer:12", "customer:15", 6, "RIGHT").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS n FROM region WHERE false")
 def all_paths_too_short(spark, d):
-    return acquaintances(spark, d).all_paths("customer:17", "customer:40", 1, "KNOWS").agg(F.count("*").alias("n"))
+    return lattice(spark, d).all_paths("customer:12", "customer:45", 5).agg(F.count("*").alias("n"))
 
 
 # adjacency
@@ -443,19 +537,11 @@ def dangling_edges_dropped(spark, d):
     return _ids(adjacency.attached(customers.unionByName(g.live_nodes("Order"), allowMissingColumns=True), g.live_edges("PLACED")))
 
 
-@query("SELECT 'customer:' || c_custkey AS id, CASE WHEN c_nationkey = 3 THEN 'Customer,VIP' WHEN c_nationkey = 4 THEN 'Customer' ELSE CASE WHEN c_mktsegment < 'Customer' THEN c_mktsegment || ',Customer' ELSE 'Customer,' || c_mktsegment END END AS labels FROM customer")
-def label_add_remove(spark, d):
-    nodes = commerce(spark, d).live_nodes("Customer")
-    without = F.array_except("labels", F.array("mktsegment__string"))
-    labels = F.when(F.col("nationkey__int") == 3, F.array_union(without, F.array(F.lit("VIP")))).when(F.col("nationkey__int") == 4, without).otherwise(F.col("labels"))
-    return nodes.select("id", F.array_join(F.array_sort(labels), ",").alias("labels"))
-
-
 # the journal: events of a user are changes of one entity, an error is a deletion
 
 
 def _journal(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet")
+    e = read_table(spark, d, "events")
     props = F.map_from_arrays(F.array(F.lit("k"), F.lit("value")), F.array(prop_struct("int", F.get_json_object("props", "$.k").cast("bigint")), prop_struct("double", F.col("value"))))
     payload = F.struct(props.alias("properties"), F.array(F.col("event_type")).alias("labels"))
     revision = F.struct(F.lit("a").alias("actor_id"), F.col("event_id").alias("counter"), F.col("ts").alias("wall_clock"))
@@ -492,14 +578,22 @@ def journal_latest_row(spark, d):
 
 @query("SELECT count(*) AS n FROM events")
 def journal_count(spark, d):
-    return _journal(spark, d).agg(F.count("*").alias("n"))
+    return journal.count(_journal(spark, d))
 
 
-@query(f"SELECT CAST(user_id AS VARCHAR) AS id FROM ({_NEWEST}) WHERE event_type = 'error'")
+@query(f"SELECT CAST(user_id AS VARCHAR) AS id FROM ({_NEWEST}) WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-29 00:00:00'")
 def tombstones_since(spark, d):
     import datetime as dt
 
-    return journal.tombstones(journal.fold(_journal(spark, d)), "node", dt.datetime(1970, 1, 1)).select("id")
+    return journal.tombstones(journal.fold(_journal(spark, d)), "node", dt.datetime(2024, 1, 29)).select("id")
+
+
+@query("SELECT event_id AS sequence FROM events WHERE event_type = 'purchase' OR event_type = 'signup' AND event_id % 2 = 0")
+def invalid_changes(spark, d):
+    j = _journal(spark, d)
+    kind = F.element_at("payload.labels", 1)
+    odd = j.withColumns({"payload": F.when(kind == "purchase", F.lit(None)).otherwise(F.col("payload")), "operation": F.when((kind == "signup") & (F.col("sequence") % 2 == 0), "move").otherwise(F.col("operation"))})
+    return journal.invalid(odd).select("sequence")
 
 
 @query("SELECT event_id AS sequence, CASE WHEN event_type = 'error' THEN 'NodeDeleted' WHEN r = 1 THEN 'NodeAdded' ELSE 'NodeUpdated' END AS event FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)")
@@ -516,6 +610,33 @@ def edge_log_merge(spark, d):
     return adjacency.overlay(base, log).select("id", "from_id")
 
 
+_LOG_ROWS = "FROM orders WHERE o_custkey = 11 AND o_orderkey % 3 < 2"
+
+
+def _edge_log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders' edges, and a log that deletes each third of them and moves the next to customer 0."""
+    base = commerce(spark, d).live_edges("PLACED")
+    number = F.col("seq") % 3
+    revision = F.struct(F.lit("a").alias("actor_id"), F.col("seq").alias("counter"), F.lit("2020-01-01").cast("timestamp").alias("wall_clock"))
+    log = base.filter(number < 2).select("id", "from_id", F.when(number == 0, F.col("to_id")).otherwise("order:0").alias("to_id"), "type", F.when(number == 0, "delete").otherwise("insert").alias("action"), revision.alias("revision"), F.col("seq").alias("position"))
+    return base, log
+
+
+@query(f"SELECT 'placed:' || o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'delete' ELSE 'insert' END AS action {_LOG_ROWS}")
+def log_entries_from(spark, d):
+    return adjacency.outgoing_entries(_edge_log(spark, d)[1], "customer:11").select("id", "action")
+
+
+@query("SELECT 'placed:' || o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 1 UNION SELECT 'placed:' || o_orderkey FROM orders WHERE o_orderkey = 0")
+def log_entries_to(spark, d):
+    return adjacency.incoming_entries(_edge_log(spark, d)[1], "order:0", "PLACED").select("id")
+
+
+@query("SELECT 'placed:' || o_orderkey AS id, CASE WHEN o_orderkey % 3 = 1 THEN 'order:0' ELSE 'order:' || o_orderkey END AS to_id, o_totalprice AS totalprice, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 > 0")
+def edge_log_compacted(spark, d):
+    return adjacency.compact(*_edge_log(spark, d)).select("id", "to_id", F.col("totalprice__double").alias("totalprice"), F.col("orderstatus__string").alias("status"))
+
+
 @query("SELECT 'customer:' || c_custkey AS id, CASE WHEN c_nationkey < 5 THEN 'patched' ELSE c_name END AS name, CASE WHEN c_nationkey < 5 THEN NULL ELSE c_acctbal END AS acctbal FROM customer")
 def patch_merge(spark, d):
     nodes = commerce(spark, d).live_nodes("Customer")
@@ -528,7 +649,7 @@ def patch_merge(spark, d):
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Base, local and remote versions of the customers: each side changed the balance of some and the segment of others."""
-    c = spark.read.parquet(f"{d}/customer.parquet")
+    c = read_table(spark, d, "customer")
 
     def side(segment, balance, counter):
         properties = F.map_from_arrays(F.array(F.lit("segment"), F.lit("balance")), F.array(prop_struct("string", segment), prop_struct("double", balance))).cast(MAP)
@@ -575,12 +696,6 @@ def push_dedupe(spark, d):
     return journal.append_new(j.filter("sequence % 2 = 0"), j.unionByName(j)).select("sequence")
 
 
-@query("SELECT event_id AS position FROM events WHERE event_id > 200 AND user_id % 3 <> 0")
-def pull_since(spark, d):
-    log = _journal(spark, d).withColumn("actor_id", (F.col("entity_id").cast("bigint") % 3).cast("string"))
-    return log.filter((F.col("sequence") > 200) & (F.col("actor_id") != "0")).select(F.col("sequence").alias("position"))
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Customers of one nation, two hops out to the parts they ordered, the dearest first."""
     q = commerce(spark, d).nodes("Customer").where("nationkey", "=", 7).traverse("out", "PLACED").traverse("out", "CONTAINS").sorted("retailprice", False).limit(20)

@@ -85,7 +85,7 @@ class _Query:
                 df = df.orderBy(*order).offset(s.offset).limit(s.count)
             elif isinstance(s, Traverse):
                 df, order = self._traverse(df, s, i)
-        return df.orderBy(*order).drop("_hop", "_path") if ordered and last > 0 else df.drop("_hop", "_path")
+        return df.orderBy(*order).drop("_hop", "_rank") if ordered and last > 0 else df.drop("_hop", "_rank")
 
     def _traverse(self, df: DataFrame, s: Traverse, at: int) -> tuple[DataFrame, list[Column]]:
         raise TypeError("edges are not traversed")
@@ -216,8 +216,8 @@ class NodeQuery(_Query):
         edges = self.graph.live_edges(s.edge)
         if order_is_visible(self.stages, at):
             found = reach_in_order(df.select("id", "seq"), edges, s.direction, s.max_depth)
-            nodes = found.select("id", F.col("hop").alias("_hop"), F.col("path").alias("_path")).join(self.graph.live_nodes(), "id")
-            return nodes, [F.col("_hop").asc(), F.col("_path").asc()]
+            nodes = found.select("id", F.col("hop").alias("_hop"), F.col("rank").alias("_rank")).join(self.graph.live_nodes(), "id")
+            return nodes, [F.col("_hop").asc(), F.col("_rank").asc()]
         found = reach(df.select("id"), edges, s.direction, s.max_depth).select("id")
         return self.graph.nodes_at(found, s), [F.col("seq").asc(), F.col("id").asc()]
 

@@ -6,7 +6,7 @@ and reaches the Parquet scan.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,11 +67,33 @@ def edge_view(df: DataFrame, t: EdgeTable) -> DataFrame:
     return df.select(F.expr(t.id).alias("id"), F.lit(t.type).alias("type"), F.expr(t.from_).alias("from_id"), F.expr(t.to).alias("to_id"), *flat(df, list(t.properties), t.prefix), F.expr(t.seq).cast("bigint").alias("seq"))
 
 
+class Lazily(Mapping):
+    """Frames by name, each made when it is first asked for: a query opens only the tables that it names."""
+
+    def __init__(self, makers: Mapping[str | None, Callable[[], DataFrame]]):
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str | None) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+    def __iter__(self) -> Iterator[str | None]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def map_tables(spark: SparkSession, tables: Mapping[str, DataFrame], nodes: list[NodeTable], edges: list[EdgeTable], indexes: frozenset[tuple[str, str]] = frozenset()) -> PropertyGraph:
     """The graph of some tables. A further label of a table's nodes is a filter on that table."""
-    views: dict[str | None, DataFrame] = {t.label: node_view(tables[t.table], t) for t in nodes}
+    views = Lazily({t.label: lambda t=t: node_view(tables[t.table], t) for t in nodes})
+    links = Lazily({t.type: lambda t=t: edge_view(tables[t.table], t) for t in edges})
     primary = frozenset(views)
-    return _Mapped(spark, views, {t.type: edge_view(tables[t.table], t) for t in edges}, {t.type: t.ends for t in edges}, indexes, lambda x: x if x in primary else None, tuple(t.label for t in nodes if t.more_labels))
+    return _Mapped(spark, views, links, {t.type: t.ends for t in edges}, indexes, lambda x: x if x in primary else None, tuple(t.label for t in nodes if t.more_labels))
 
 
 @dataclass(frozen=True)
@@ -86,12 +108,29 @@ class _Mapped(PropertyGraph):
     def node_by_id(self, id: str) -> DataFrame:
         """Only the table that an id's prefix names is read, by its own key."""
         kind, _, key = id.partition(":")
-        for label, view in self.node_views.items():
+        for label in self.node_views:
             if label is not None and label.lower() == kind and key.lstrip("-").isdigit():
-                return view.filter((F.col("seq") == int(key)) & (F.col("id") == id))
+                return self.node_views[label].filter((F.col("seq") == int(key)) & (F.col("id") == id))
         return super().node_by_id(id)
 
 
+#: The columns of the tables: no file is opened to find out.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 COMMERCE_NODES = [
     NodeTable("Region", "region", "r_regionkey", "r_"), NodeTable("Nation", "nation", "n_nationkey", "n_"), NodeTable("Customer", "customer", "c_custkey", "c_", "c_mktsegment"),
     NodeTable("Supplier", "supplier", "s_suppkey", "s_"), NodeTable("Part", "part", "p_partkey", "p_"), NodeTable("Order", "orders", "o_orderkey", "o_"),
@@ -108,13 +147,13 @@ COMMERCE_EDGES = [
 
 def commerce(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """The graph of the order tables."""
-    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    tables = Lazily({name: lambda name=name: read_table(spark, sf_dir, name) for name in SCHEMAS})
     return map_tables(spark, tables, COMMERCE_NODES, COMMERCE_EDGES, frozenset({("Customer", "name"), ("Part", "brand")}))
 
 
 def acquaintances(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Customers who know three others each, by arithmetic on their keys: a graph with cycles."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customers = read_table(spark, sf_dir, "customer")
     n = customers.count()
     slots = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(((7, 3), (11, 5), (13, 1)))]))
     pairs = customers.select(F.col("c_custkey").alias("k"), slots.alias("s")).select("k", "s.slot", F.pmod(F.col("k") * F.col("s.a") + F.col("s.b"), F.lit(n)).alias("to"))
@@ -123,9 +162,19 @@ def acquaintances(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return _Mapped(spark, {"Customer": view}, {"KNOWS": edges}, {"KNOWS": ("Customer", "Customer")}, frozenset(), None, ("Customer",))
 
 
+def lattice(spark: SparkSession, sf_dir: str, width: int = 10) -> PropertyGraph:
+    """Customers on a lattice ``width`` wide, each with an edge to the next (RIGHT) and to the one below (DOWN): many shortest paths."""
+    customers = read_table(spark, sf_dir, "customer")
+    slots = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(t).alias("type"), F.lit(by).alias("by")) for i, (t, by) in enumerate((("RIGHT", 1), ("DOWN", width)))]))
+    steps = customers.select(F.col("c_custkey").alias("k"), slots.alias("s")).select("k", "s.*")
+    name = lambda c: F.concat(F.lit("customer:"), c.cast("string"))
+    edges = steps.select(F.concat_ws(":", F.lower("type"), "k").alias("id"), "type", name(F.col("k")).alias("from_id"), name(F.col("k") + F.col("by")).alias("to_id"), (F.col("k") * 2 + F.col("slot")).alias("seq"))
+    return _Mapped(spark, {"Customer": node_view(customers, COMMERCE_NODES[2])}, {None: edges}, {}, frozenset(), None, ("Customer",))
+
+
 def event_chains(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Each user's events, one after another: long chains."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = read_table(spark, sf_dir, "events")
     after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     links = events.select("event_id", after.alias("next")).filter("next is not null")
     name = lambda c: F.concat(F.lit("event:"), F.col(c).cast("string"))

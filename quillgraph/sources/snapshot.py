@@ -1,4 +1,8 @@
-"""Snapshots: a graph as Parquet with a manifest, checked before use, and moved into place as a whole."""
+"""Snapshots: a graph as Parquet with a manifest, checked before use.
+
+A snapshot's folder holds versions, each renamed into place as a whole; the newest one counts. A write removes older
+versions only when its own is in place, so there is a whole one at any time.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ POLICIES = ("auto", "disabled")
 
 
 class SnapshotError(Exception):
-    """A snapshot that is missing, incomplete or not what its manifest says."""
+    """A snapshot that is missing, incomplete or not what its manifest says. A failure to read is not one."""
 
 
 def checksum(df: DataFrame) -> tuple[int, int]:
@@ -33,51 +37,84 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_snapshot(graph: PropertyGraph, path: str, version: int = SCHEMA_VERSION) -> dict:
-    """Writes to a folder beside the target and renames it; an existing snapshot is replaced only then."""
+def _size(spark: SparkSession, path: str) -> list[int]:
+    """Files and bytes of a folder."""
+    p, files = _fs(spark, path)
+    about = files.getContentSummary(p)
+    return [about.getFileCount(), about.getLength()]
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    p, files = _fs(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(p) if x.getPath().getName().startswith("v")) if files.exists(p) else []
+
+
+def _policy(policy: str) -> bool:
+    if policy not in POLICIES:
+        raise ValueError(f"policy is one of {POLICIES}")
+    return policy == "auto"
+
+
+def write_snapshot(graph: PropertyGraph, path: str, version: int = SCHEMA_VERSION, policy: str = "auto") -> dict | None:
+    """Writes a new version beside the others, renames it into place, and removes older ones; returns its manifest.
+
+    With the policy ``disabled`` nothing is written.
+    """
+    if not _policy(policy):
+        return None
     spark = graph.spark
-    staging = f"{path}.{uuid.uuid4().hex}"
+    staging = f"{path}/_{uuid.uuid4().hex}"
     manifest: dict = {"format": FORMAT, "schema_version": version, "indexes": sorted(map(list, graph.indexes))}
     for name, frame in (("nodes", graph.live_nodes()), ("edges", graph.live_edges())):
         frame.write.parquet(f"{staging}/{name}")
         rows, crc = checksum(spark.read.schema(frame.schema).parquet(f"{staging}/{name}"))
-        manifest[name] = {"rows": rows, "crc32": crc, "schema": frame.schema.jsonValue()}
+        manifest[name] = {"rows": rows, "crc32": crc, "size": _size(spark, f"{staging}/{name}"), "schema": frame.schema.jsonValue()}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{staging}/manifest")
-    target, files = _fs(spark, path)
-    if files.exists(target):
-        files.delete(target, True)
+    before = _versions(spark, path)
+    target, files = _fs(spark, f"{path}/v{int(before[-1][1:]) + 1 if before else 0:010d}")
     if not files.rename(_fs(spark, staging)[0], target):
-        raise SnapshotError(f"could not move the snapshot to {path}")
+        raise SnapshotError(f"could not move the snapshot to {target}")
+    for name in before:
+        files.delete(_fs(spark, f"{path}/{name}")[0], True)
     return manifest
 
 
+def _newest(spark: SparkSession, path: str) -> str:
+    versions = _versions(spark, path)
+    if not versions:
+        raise SnapshotError(f"there is no snapshot in {path}")
+    return f"{path}/{versions[-1]}"
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest of the newest version, with ``folder``, where that is."""
+    folder = _newest(spark, path)
+    target, files = _fs(spark, f"{folder}/manifest")
+    rows = spark.read.text(f"{folder}/manifest").collect() if files.exists(target) else []
     try:
-        rows = spark.read.text(f"{path}/manifest").collect()
         manifest = json.loads(rows[0]["value"])
-    except Exception as e:
-        raise SnapshotError(f"no readable manifest in {path}") from e
+    except (IndexError, ValueError) as e:
+        raise SnapshotError(f"no manifest in {folder}") from e
     if manifest.get("format") != FORMAT:
         raise SnapshotError(f"format {manifest.get('format')} is not known")
     if not 1 <= manifest.get("schema_version", 0) <= SCHEMA_VERSION:
         raise SnapshotError(f"schema version {manifest.get('schema_version')} is not known")
-    return manifest
+    return manifest | {"folder": folder}
 
 
 def read_snapshot(spark: SparkSession, path: str) -> PropertyGraph:
-    """The snapshot's graph, after checking both tables against the manifest."""
+    """The snapshot's graph, after checking both tables' sizes and contents against the manifest."""
     from pyspark.sql.types import StructType
 
     manifest = read_manifest(spark, path)
     frames = {}
     for name in ("nodes", "edges"):
-        about = manifest[name]
-        try:
-            frames[name] = spark.read.schema(StructType.fromJson(about["schema"])).parquet(f"{path}/{name}")
-            found = checksum(frames[name])
-        except Exception as e:
-            raise SnapshotError(f"{name} cannot be read") from e
-        if found != (about["rows"], about["crc32"]):
+        about, folder = manifest[name], f"{manifest['folder']}/{name}"
+        target, files = _fs(spark, folder)
+        if not files.exists(target) or _size(spark, folder) != about["size"]:
+            raise SnapshotError(f"{name} has lost or gained files")
+        frames[name] = spark.read.schema(StructType.fromJson(about["schema"])).parquet(folder)
+        if checksum(frames[name]) != (about["rows"], about["crc32"]):
             raise SnapshotError(f"{name} is not what the manifest says")
     return PropertyGraph.from_dataframes(migrate(frames["nodes"], NODES, manifest["schema_version"]), migrate(frames["edges"], EDGES, manifest["schema_version"]), [tuple(x) for x in manifest["indexes"]])
 
@@ -98,10 +135,11 @@ def migrate(df: DataFrame, ddl: str, version: int) -> DataFrame:
 
 
 def load_or_discard(spark: SparkSession, path: str, policy: str = "auto") -> PropertyGraph | None:
-    """The snapshot's graph, or None after removing one that is not sound. ``disabled`` never reads."""
-    if policy not in POLICIES:
-        raise ValueError(f"policy is one of {POLICIES}")
-    if policy == "disabled":
+    """The snapshot's graph, or None after removing one that is not sound. ``disabled`` never reads.
+
+    Only a mismatch with the manifest removes a snapshot; a job that fails (a lost executor, say) leaves it as it is.
+    """
+    if not _policy(policy):
         return None
     try:
         return read_snapshot(spark, path)

@@ -1,12 +1,15 @@
 """Synchronising stores through a shared change log.
 
 A backend is an append-only log with positions. A round pushes the local rows behind the push cursor, pulls what others
-have logged, resolves it against the local state and the last synced versions, and moves both cursors.
+have logged, resolves it against the local state and the version that both sides had in common, and moves both cursors.
+Rounds work on whole frames: however many changes there are, a round is a few Spark jobs for each wave (the most changes
+that one entity has in a pull).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -14,26 +17,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import journal
-from ..operators.merge import Resolver, field_level, resolve_changes
-from ..plans.lineage import cut
+from ..operators.merge import MAP, Resolver, field_level, resolve_changes
+from ..plans.lineage import cut, numbered
 from ..store import GraphStore
-from ..types import JOURNAL, schema
+from ..types import JOURNAL, REVISION, schema
 
 LOG = f"position bigint, {JOURNAL}"
+SIDE = ["entity_kind", "entity_id", "properties", "deleted", "revision"]
 
 
 class Transport(Protocol):
-    def push(self, changes: DataFrame) -> DataFrame: ...
+    """What a backend has to do; see ``quillgraph.streaming.contract`` for what is expected of it."""
+
+    def push(self, changes: DataFrame) -> tuple[DataFrame, int]: ...
 
     def pull(self, after: int, actor: str, most: int) -> DataFrame: ...
 
+    def end(self) -> int: ...
+
 
 class SyncFailed(Exception):
     """A transport's failure; the round changed nothing that it had not finished."""
 
 
 class LogBackend:
-    """A log in a folder (Parquet). ``fail_next`` makes the next calls fail, for tests."""
+    """A log in a folder (Parquet), with one writer at a time. ``fail_next`` makes the next calls fail, for tests."""
 
     def __init__(self, spark, path: str):
         self.spark, self.path, self.fail_next = spark, path, 0
@@ -48,14 +56,16 @@ class LogBackend:
             self.fail_next -= 1
             raise SyncFailed("the backend is not available")
 
-    def push(self, changes: DataFrame) -> DataFrame:
-        """Appends the changes that the log does not hold; returns the (change_id, sequence) of all of them."""
+    def push(self, changes: DataFrame) -> tuple[DataFrame, int]:
+        """Appends the changes that the log does not hold, in their order.
+
+        Returns the (change_id, sequence) that the log now holds, which are all, and how many of them were new.
+        """
         self._maybe_fail()
-        top = self.log().agg(F.max("position")).first()[0] or 0
-        fresh = journal.append_new(self.log(), changes)
-        placed = fresh.withColumn("position", F.lit(top) + F.row_number().over(Window.orderBy("sequence")))  # one batch of bounded size
-        placed.select(schema(LOG).fieldNames()).coalesce(1).write.mode("append").parquet(self.path)
-        return changes.select("change_id", "sequence")
+        fresh, count = numbered(journal.append_new(self.log(), changes), "sequence", after=self.end(), name="position")
+        if count:
+            fresh.select(schema(LOG).fieldNames()).write.mode("append").parquet(self.path)
+        return changes.select("change_id", "sequence"), count
 
     def pull(self, after: int, actor: str, most: int) -> DataFrame:
         """Other actors' changes behind a position, at most so many positions of the log."""
@@ -66,23 +76,63 @@ class LogBackend:
         return self.log().agg(F.max("position")).first()[0] or 0
 
 
+class RecordVersions:
+    """The versions of entities that this store and a backend have had in common: an append-only table beside the journal."""
+
+    DDL = f"backend string, entity_kind string, entity_id string, properties {MAP}, deleted boolean, revision {REVISION}, at timestamp"
+
+    def __init__(self, store: GraphStore, backend: str):
+        self.store, self.backend, self.path = store, backend, f"{store.path}/versions"
+
+    def all(self) -> DataFrame:
+        if not self.store._fs().exists(self.store._hpath("versions")):
+            return self.store.spark.createDataFrame([], schema(self.DDL))
+        return self.store.spark.read.schema(schema(self.DDL)).parquet(self.path).filter(F.col("backend") == self.backend)
+
+    def latest(self) -> DataFrame:
+        """The last synced version of each entity."""
+        rows = self.all()
+        newest = F.max_by(F.struct("properties", "deleted", "revision", "at"), F.struct("at", "revision.counter"))
+        return rows.groupBy("entity_kind", "entity_id").agg(newest.alias("v")).select("entity_kind", "entity_id", "v.*")
+
+    def save(self, rows: DataFrame) -> None:
+        """Rows of SIDE that both sides now hold."""
+        out = rows.withColumns({"backend": F.lit(self.backend), "at": F.lit(dt.datetime.now())})
+        out.select(schema(self.DDL).fieldNames()).write.mode("append").parquet(self.path)
+
+    def at(self, wanted: DataFrame) -> DataFrame:
+        """SIDE rows of the versions that (entity_kind, entity_id, revision) rows name, as far as they are known."""
+        keys = wanted.select("entity_kind", "entity_id", F.col("revision").alias("wanted"))
+        rows = self.all().join(keys, ["entity_kind", "entity_id"]).filter(F.col("revision").eqNullSafe(F.col("wanted")))
+        return rows.select(*SIDE).dropDuplicates(["entity_kind", "entity_id"])
+
+
 @dataclass
 class Status:
-    """idle, syncing, offline, conflict or error, and what the last round did."""
+    """idle, syncing, offline, conflict or error, and what the last round did; ``conflicts`` lists the first of them."""
 
     state: str = "idle"
     pushed: int = 0
     pulled: int = 0
+    n_conflicts: int = 0
     conflicts: list[tuple[str, str, str]] = field(default_factory=list)
     error: str | None = None
 
 
+#: Conflicts that a status lists.
+LISTED = 100
+
+
 class Coordinator:
-    """Syncs one store with one backend. Cursors are kept beside the store's journal."""
+    """Syncs one store with one backend. Cursors are kept beside the store's journal.
+
+    ``batch`` is how many rows go to the backend, or come from it, at once.
+    """
 
-    def __init__(self, store: GraphStore, backend: LogBackend, name: str = "main", resolver: Resolver | None = None, batch: int = 256):
+    def __init__(self, store: GraphStore, backend: Transport, name: str = "main", resolver: Resolver | None = None, batch: int = 1 << 20):
         self.store, self.backend, self.name, self.batch = store, backend, name, batch
         self.resolver = resolver or field_level()
+        self.versions = RecordVersions(store, name)
         self.status, self.enabled = Status(), True
 
     # cursors: the last row of a small append-only table
@@ -108,7 +158,7 @@ class Coordinator:
         try:
             self._push()
             self._pull()
-            self.status.state = "conflict" if self.status.conflicts else "idle"
+            self.status.state = "conflict" if self.status.n_conflicts else "idle"
         except SyncFailed as e:
             self.status.state, self.status.error = "offline", str(e)
         except Exception as e:
@@ -116,6 +166,10 @@ class Coordinator:
             raise
         return self.status
 
+    @staticmethod
+    def _side(rows: DataFrame) -> DataFrame:
+        return rows.select("entity_kind", "entity_id", F.col("payload.properties").alias("properties"), (F.col("operation") == journal.DELETE).alias("deleted"), "revision")
+
     def _push(self) -> None:
         """Sends own rows in batches by sequence; the cursor moves no further than what was accepted without a gap."""
         pushed, pulled = self._cursors()
@@ -125,57 +179,97 @@ class Coordinator:
             return
         for start in range(pushed, last, self.batch):
             part = own.filter((F.col("sequence") > start) & (F.col("sequence") <= start + self.batch))
-            accepted = self.backend.push(part).count()
-            self.status.pushed += accepted
+            accepted, fresh = self.backend.push(part)
+            self.versions.save(self._side(part.join(accepted.select("change_id"), "change_id", "left_semi")))
+            self.status.pushed += fresh
             self._move(min(start + self.batch, last), pulled)
 
     def _pull(self) -> None:
         pushed, pulled = self._cursors()
         end = self.backend.end()
         while pulled < end:
-            changes = self.backend.pull(pulled, self.store.actor, self.batch)
-            self._apply(changes)
+            self._apply(self.backend.pull(pulled, self.store.actor, self.batch))
             pulled = min(pulled + self.batch, end)
             self._move(pushed, pulled)
 
-    def _side(self, state: DataFrame) -> DataFrame:
-        return state.select("entity_kind", "entity_id", F.col("payload.properties").alias("properties"), (F.col("operation") == journal.DELETE).alias("deleted"), "revision", "payload")
-
     def _apply(self, changes: DataFrame) -> None:
         """Applies a batch in waves, each with one change of an entity at most, in the log's order."""
         fresh = journal.append_new(self.store.journal(), changes)
         order = Window.partitionBy("entity_kind", "entity_id").orderBy("position")
-        waves = cut(fresh.withColumn("wave", F.row_number().over(order)))
+        waves = cut(fresh.withColumn("wave", F.row_number().over(order)), "waves")
         for wave in range(1, (waves.agg(F.max("wave")).first()[0] or 0) + 1):
             self._apply_wave(waves.filter(F.col("wave") == wave).drop("wave"))
 
     def _apply_wave(self, changes: DataFrame) -> None:
         """Journals the outcome under the remote actor, so that it is not pushed back; a merge becomes a change of its own."""
-        known = self.store.journal()
-        rows = changes.select("entity_kind", "entity_id", F.col("payload.properties").alias("properties"), (F.col("operation") == journal.DELETE).alias("deleted"), "revision", F.col("base_revision").alias("from"), F.struct(*changes.columns).alias("r"))
-        local = self._side(journal.fold(known))
-        held = known.select("entity_kind", "entity_id", F.col("payload.properties").alias("properties"), (F.col("operation") == journal.DELETE).alias("deleted"), "revision")
-        base = held.join(rows.select("entity_kind", "entity_id", F.col("from").alias("wanted")), ["entity_kind", "entity_id"]).filter(F.col("revision").eqNullSafe(F.col("wanted"))).drop("wanted").dropDuplicates(["entity_kind", "entity_id"])
-        decided = resolve_changes(base, local, rows, self.resolver).join(rows.select("entity_kind", "entity_id", "r"), ["entity_kind", "entity_id"])
-        mine = local.select("entity_kind", "entity_id", F.col("payload").alias("own"), F.col("revision").alias("own_revision"))
-        outcome = decided.join(mine, ["entity_kind", "entity_id"], "left").collect()  # one batch of bounded size
-        out, top = [], known.agg(F.max("sequence")).first()[0] or 0
-        names = schema(JOURNAL).fieldNames()
-        for row in sorted(outcome, key=lambda x: x["r"]["position"]):
-            d = row.asDict(recursive=True)
-            action, change = d["resolution"]["action"], d["r"]
-            self.status.pulled += 1
-            if action == "fail":
-                self.status.conflicts.append((d["entity_kind"], d["entity_id"], d["resolution"]["reason"]))
-                continue
-            payload = dict(change["payload"] or d["own"] or {})
-            keep = action in ("merge", "useLocal") and d["diverged"]
-            if action != "delete":
-                payload["properties"] = d["resolution"]["properties"]
-            merged = keep and d["own"] is not None and payload["properties"] != change["payload"]["properties"]
-            revision = self.store._mint().row() if merged else change["revision"]
-            actor = self.store.actor if merged else change["actor_id"]
-            change_id = next(self.store.ids) if merged else change["change_id"]
-            out.append(change | {"sequence": top + len(out) + 1, "change_id": change_id, "actor_id": actor, "operation": journal.DELETE if action == "delete" else journal.UPSERT, "payload": payload, "base_revision": change["revision"] if merged else change["base_revision"], "revision": revision})
-        if out:
-            self.store.append(self.store.spark.createDataFrame([tuple(x[c] for c in names) for x in out], schema(JOURNAL)))
+        key = ["entity_kind", "entity_id"]
+        touched = changes.select(*key)
+        rows = self._side(changes)
+        held = self.store.states(touched)
+        local = self._side(held)
+        base = self.versions.at(changes.select(*key, F.col("base_revision").alias("revision")))
+        mine = held.select(*key, F.col("payload").alias("own"))
+        decided = resolve_changes(base, local, rows, self.resolver).join(changes, key).join(mine, key, "left")
+        action = F.col("resolution.action")
+        properties = F.when(action == "delete", F.coalesce("payload", "own")["properties"]).otherwise(F.col("resolution.properties"))
+        payload = F.coalesce("payload", "own").withField("properties", properties)
+        merged = action.isin("merge", "useLocal") & F.col("diverged") & F.col("own").isNotNull() & ~_same(properties, F.col("payload.properties"))
+        out = cut(decided.withColumns({"outcome": payload, "merged": F.coalesce(merged, F.lit(False)), "reason": F.col("resolution.reason"), "done": action}).drop("resolution"), "outcome")
+        failed = out.filter("done = 'fail'")
+        about = out.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("done") == "fail").cast("long")), F.lit(0)).alias("failed")).first()
+        self.status.pulled += about["n"]
+        if about["failed"]:
+            self.status.n_conflicts += about["failed"]
+            listed = failed.orderBy("position").select(*key, "reason").limit(max(0, LISTED - len(self.status.conflicts))).collect()
+            self.status.conflicts += [tuple(r) for r in listed]
+        ours = F.struct(F.lit(self.store.actor).alias("actor_id"), F.lit(None).cast("bigint").alias("counter"), F.lit(dt.datetime.now()).alias("wall_clock")).cast(REVISION)
+        fine = out.filter("done <> 'fail'")
+        self.versions.save(self._side(fine.select(*changes.columns)))
+        new = fine.select(
+            "position", F.when(F.col("merged"), F.upper(F.expr("uuid()"))).otherwise(F.col("change_id")).alias("change_id"), "graph_id",
+            F.when(F.col("merged"), self.store.actor).otherwise(F.col("actor_id")).alias("actor_id"), *key, F.when(F.col("done") == "delete", journal.DELETE).otherwise(journal.UPSERT).alias("operation"),
+            F.col("outcome").alias("payload"), F.when(F.col("merged"), F.col("revision")).otherwise(F.col("base_revision")).alias("base_revision"), F.when(F.col("merged"), ours).otherwise(F.col("revision")).alias("revision"), "created_at")
+        self.store.append_merged(new, "position")
+
+
+def _same(a, b):
+    """Whether two maps of properties hold the same; compared entry by entry, as maps have no equality."""
+    entries = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"], F.to_json(e["value"]))))
+    return F.coalesce(entries(a) == entries(b), a.isNull() & b.isNull())
+
+
+class Synchroniser:
+    """The backends that a store is synced with, by name: enabling, running, disabling, and what state they are in."""
+
+    def __init__(self, store: GraphStore):
+        self.store, self._coordinators, self._watchers = store, {}, []
+
+    def enable(self, name: str, backend: Transport, resolver: Resolver | None = None, batch: int = 1 << 20) -> None:
+        """Registers a backend; cursors of an earlier registration under this name go on from where they were."""
+        self._coordinators[name] = Coordinator(self.store, backend, name, resolver, batch)
+        self._tell(name)
+
+    def disable(self, name: str) -> None:
+        """Forgets a backend; its cursors stay."""
+        self._coordinators.pop(name, None)
+
+    def watch(self, on_status: Callable[[str, Status], None]) -> None:
+        """Calls ``on_status`` with a backend's name and status before and after each of its rounds."""
+        self._watchers.append(on_status)
+
+    def status(self) -> dict[str, Status]:
+        return {name: c.status for name, c in self._coordinators.items()}
+
+    def sync_now(self, name: str) -> Status:
+        """One round with a backend; LookupError if none has this name."""
+        if name not in self._coordinators:
+            raise LookupError(f"no backend is called {name}")
+        self._tell(name, Status("syncing"))
+        try:
+            return self._coordinators[name].run_once()
+        finally:
+            self._tell(name)
+
+    def _tell(self, name: str, status: Status | None = None) -> None:
+        for f in self._watchers:
+            f(name, status or self._coordinators[name].status)

@@ -1,16 +1,19 @@
 """The journal, the writable store, streams, sync, snapshots."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import adjacency, journal
 from quillgraph.operators.merge import MAP, field_level, local_wins, remote_wins, resolve_changes
+from quillgraph.sources import snapshot
 from quillgraph.sources.snapshot import SnapshotError, load_or_discard, read_snapshot, write_snapshot
-from quillgraph.store import EndpointMissing, GraphError, GraphStore, LastLabel, NotFound
-from quillgraph.streaming.sync import Coordinator, LogBackend
-from quillgraph.types import NODES, prop_row, prop_value, schema, seeded_ids
+from quillgraph.store import CHANGES, EndpointMissing, GraphError, GraphStore, LastLabel, NotFound
+from quillgraph.streaming.contract import CHECKS, ContractBroken, resume
+from quillgraph.streaming.sync import Coordinator, LogBackend, Synchroniser
+from quillgraph.types import NODES, Revision, prop_row, prop_value, schema, seeded_ids
 
 
 @pytest.fixture
@@ -120,6 +123,11 @@ def test_edge_logs(spark):
     assert got(("e9", "d", "insert", ("A", 99, t[0])), ("e9", "d", "delete", ("B", 1, t[1]))) == [("e1", "b"), ("e2", "c")]
     assert adjacency.should_compact(401, 100) and not adjacency.should_compact(400, 100)
     assert adjacency.compact(base, log(("e1", "b", "delete", r(1)))).count() == 1
+    rich = base.withColumns({"w": F.col("seq") * 1.5, "is_deleted": F.lit(False)})
+    kept = adjacency.compact(rich, log(("e1", "q", "insert", r(1)), ("e7", "z", "insert", r(2))))
+    assert kept.columns == rich.columns and [(x.id, x.to_id, x.w) for x in kept.orderBy("seq").collect()] == [("e1", "q", 1.5), ("e2", "c", 3.0), ("e7", "z", None)]
+    entries = log(("e1", "q", "insert", r(1)), ("e7", "q", "insert", r(2)), ("e8", "z", "insert", r(3)))
+    assert [x.id for x in adjacency.incoming_entries(entries, "q").collect()] == ["e1", "e7"] and adjacency.outgoing_entries(entries, "a", "L").count() == 3 and adjacency.outgoing_entries(entries, "q").count() == 0
 
 
 SIDE = f"entity_kind string, entity_id string, properties {MAP}, deleted boolean, revision struct<actor_id:string,counter:bigint,wall_clock:timestamp>"
@@ -199,10 +207,141 @@ def test_snapshots(spark, store, tmp_path):
     assert (manifest["nodes"]["rows"], manifest["edges"]["rows"]) == (2, 1)
     g = read_snapshot(spark, path)
     assert [r.id for r in g.nodes("P").where("v", "=", 1).collect()] == [a] and [r.id for r in g.node(a).traverse("out").collect()] == [b]
-    assert load_or_discard(spark, path, "disabled") is None
-    g.live_nodes().filter("seq = 1").write.mode("overwrite").parquet(f"{path}/edges_")
-    (tmp_path / "snap" / "nodes" / "part-extra.parquet").write_bytes(next((tmp_path / "snap" / "nodes").glob("part-*.parquet")).read_bytes())
+    assert load_or_discard(spark, path, "disabled") is None and write_snapshot(store.graph(), path, policy="disabled") is None
+    store.add_node("P", {"v": 2})
+    write_snapshot(store.graph(), path)
+    folders = [x for x in (tmp_path / "snap").iterdir() if x.is_dir()]
+    assert read_snapshot(spark, path).nodes("P").count() == 3 and len(folders) == 1  # the older version is gone
+    part = next((folders[0] / "nodes").glob("part-*.parquet"))
+    (folders[0] / "nodes" / "part-extra.parquet").write_bytes(part.read_bytes())
     with pytest.raises(SnapshotError):
         read_snapshot(spark, path)
     assert load_or_discard(spark, path) is None and not (tmp_path / "snap").exists()
     assert load_or_discard(spark, str(tmp_path / "none")) is None
+
+
+def test_a_failure_to_read_keeps_a_snapshot(spark, store, tmp_path, monkeypatch):
+    store.add_node("P")
+    path = str(tmp_path / "snap")
+    write_snapshot(store.graph(), path)
+
+    def lost(df):
+        raise RuntimeError("an executor was lost")
+
+    monkeypatch.setattr(snapshot, "checksum", lost)
+    with pytest.raises(RuntimeError):
+        load_or_discard(spark, path)
+    monkeypatch.undo()
+    assert load_or_discard(spark, path).nodes("P").count() == 1
+
+
+def test_changes_of_many_entities(store, spark):
+    row = lambda action, kind, id, **c: (action, kind, id, c.get("labels"), c.get("type"), c.get("from_id"), c.get("to_id"), {k: prop_row(v) for k, v in c["properties"].items()} if "properties" in c else None)
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema(CHANGES))
+    assert store.apply(frame(row("add", "node", "a", labels=["P", "P"], properties={"x": 1, "n": None}), row("add", "node", "b", labels=["P"]), row("add", "edge", "e", type="L", from_id="a", to_id="b"))) == 3
+    assert store.apply(frame(row("patch", "node", "a", properties={"x": None, "y": 2}), row("add_labels", "node", "b", labels=["Q"]), row("delete", "edge", "e"), row("delete", "node", "none"))) == 3
+    assert props(store.node("a")) == {"y": 2} and store.node("b").labels == ["P", "Q"] and store.edge("e") is None
+    bad = [(row("patch", "node", "z"), NotFound), (row("add", "node", "a", labels=["P"]), GraphError), (row("remove_labels", "node", "a", labels=["P"]), LastLabel), (row("add", "edge", "f", type="L", from_id="a", to_id="z"), EndpointMissing), (row("add", "node", "c"), LastLabel), (row("move", "node", "a"), GraphError), (row("patch", "edge", "e"), NotFound)]
+    for change, error in bad:
+        with pytest.raises(error):
+            store.apply(frame(row("add", "node", "new", labels=["P"]), change))
+    with pytest.raises(GraphError):
+        store.apply(frame(row("delete", "node", "a"), row("delete", "node", "a")))
+    assert store.journal().count() == 6 and store.apply(frame()) == 0
+    rows = store.journal().orderBy("sequence").collect()
+    assert [r.sequence for r in rows] == list(range(1, 7)) == [r.revision.counter for r in rows] and len({r.change_id for r in rows}) == 6
+    store.add_node("P")  # counters go on behind a frame's
+    assert store.journal().agg(F.max("revision.counter"), F.max("sequence")).first() == (7, 7)
+
+
+def test_compaction_loses_nothing(store, spark):
+    with store.transaction() as tx:
+        ids = [tx.add_node(["P", f"Q{i}"], {"v": i}) for i in range(5)]
+        edges = [tx.add_edge(ids[0], i, "L", {"w": 1.5}) for i in ids[1:]]
+    store.delete_node(ids[4])
+    store.delete_edge(edges[0])
+    seen = lambda s: ([sorted(map(str, x.collect())) for x in (s.nodes(), s.edges(), s.tombstones("node"))])
+    before, old = seen(store), store.graph()
+    assert store.should_compact()
+    store.compact()
+    again = GraphStore.open(spark, store.path, actor="me", ids=seeded_ids(2))
+    assert seen(again) == before and again.state().count() == 0 and not again.should_compact()
+    again.update_node(ids[1], {"v": 9})
+    with pytest.raises(NotFound):
+        again.update_node(ids[4], {})
+    more = spark.createDataFrame([("bulk", ["P"])], "id string, labels array<string>")
+    assert again.bulk_insert(more) == (1, 0)
+    for _ in range(2):
+        assert props(again.node(ids[1])) == {"v": 9} and props(again.node(ids[2])) == {"v": 2} and again.graph().nodes("P").count() == 5
+        assert again.journal().agg(F.max("revision.counter")).first()[0] == again.journal().count() == 12
+        again.compact()
+    assert old.nodes("P").count() == 4 and old.nodes("P").where("v", "=", 9).count() == 0  # a reader keeps what it has open
+    with pytest.raises(GraphError):
+        again.bulk_insert(more)
+    with pytest.raises(GraphError):
+        again.bulk_insert(spark.createDataFrame([("x", ["P"]), ("x", ["P"])], more.schema))
+
+
+def test_jobs_do_not_grow_with_a_transaction(spark, store):
+    store.add_node("P", id="p")
+    tracker = spark.sparkContext.statusTracker()
+    for n, group in ((2, "few"), (12, "many")):
+        spark.sparkContext.setJobGroup(group, group)
+        with store.transaction() as tx:
+            tx.load(("node", "p"))
+            for _ in range(n):
+                tx.add_edge("p", tx.add_node("Q"), "L")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("many")) == len(tracker.getJobIdsForGroup("few"))
+
+
+def test_long_histories_take_little_room(spark):
+    t = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(seconds=n)
+    rng, rows = random.Random(3), []
+    for entity in range(6):
+        counters = {"x": 0, "y": 0, "z": 0}
+        for n in range(120):
+            actor = rng.choice("xyz") if entity % 2 else "xyz"[n // 40]
+            counters[actor] += rng.choice((1, 1, 0, -1))
+            rows.append((len(rows), f"c{len(rows)}", "node", f"n{entity}", "upsert", (actor, counters[actor], t(rng.randrange(200) if entity > 2 else n))))
+    frame = spark.createDataFrame(rows, "sequence bigint, change_id string, entity_kind string, entity_id string, operation string, revision struct<actor_id:string,counter:bigint,wall_clock:timestamp>")
+    want = {}
+    for r in rows:
+        now = want.get(r[3])
+        if now is None or not Revision(*r[5]) < Revision(*now[5]):
+            want[r[3]] = r
+    got = {r.entity_id: (r.change_id, r.first_sequence) for r in journal.fold(frame).collect()}
+    assert got == {k: (r[1], 120 * int(k[1:])) for k, r in want.items()}
+
+
+@pytest.mark.parametrize("check", CHECKS, ids=lambda c: c.__name__)
+def test_backends_keep_the_contract(spark, tmp_path, check):
+    def make():
+        path = str(tmp_path / str(random.random()))
+        return lambda: LogBackend(spark, path)
+
+    check(spark, make)
+
+
+def test_the_contract_notices(spark, tmp_path):
+    class Forgetful(LogBackend):
+        def pull(self, after, actor, most):
+            return super().pull(0, actor, most)
+
+    with pytest.raises(ContractBroken):
+        resume(spark, lambda: lambda: Forgetful(spark, str(tmp_path / "log")))
+
+
+def test_several_backends(spark, store, tmp_path):
+    sync, told = Synchroniser(store), []
+    sync.watch(lambda name, s: told.append((name, s.state)))
+    for name in ("x", "y"):
+        sync.enable(name, LogBackend(spark, str(tmp_path / name)))
+    store.add_node("P")
+    assert sync.sync_now("x").pushed == 1 and sync.sync_now("y").pushed == 1 and set(sync.status()) == {"x", "y"}
+    assert told[-2:] == [("y", "syncing"), ("y", "idle")]
+    sync.disable("x")
+    with pytest.raises(LookupError):
+        sync.sync_now("x")
+    sync.enable("x", LogBackend(spark, str(tmp_path / "x")))
+    assert sync.sync_now("x").pushed == 0  # goes on from its cursor
