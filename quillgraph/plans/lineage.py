@@ -41,9 +41,18 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def size_of(df: DataFrame) -> int:
+    """The bytes that Catalyst estimates; for a written table those of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+#: Files of a table that is sent to all executors have at most so many bytes.
+MOST_BYTES = 32 << 20
+
+
 def beside(df: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """A written table for the small side of a join: sent to all executors up to ``most`` rows, hashed beyond that."""
-    return df.hint("broadcast" if df.count() <= most else "shuffle_hash")
+    """A written table for the small side of a join: sent to all executors up to ``most`` rows and MOST_BYTES, hashed beyond that."""
+    return df.hint("broadcast" if size_of(df) <= MOST_BYTES and df.count() <= most else "shuffle_hash")
 
 
 def numbered(df: DataFrame, *order: Column | str, after: int = 0, name: str = "number") -> tuple[DataFrame, int]:

@@ -23,13 +23,19 @@ def test_values_survive_a_round_trip():
 
 
 def test_what_cannot_be_stored():
-    for bad in (float("nan"), float("inf")):
-        with pytest.raises(ValueError):
-            prop_row(bad)
     with pytest.raises(OverflowError):
         prop_row(1 << 63)
 
 
+def test_numbers_that_are_none(spark):
+    nan, inf = float("nan"), float("inf")
+    assert prop_value(prop_row(inf)) == inf and prop_value(prop_row(nan)) != prop_value(prop_row(nan))
+    g = PropertyGraph.from_rows(spark, [(f"n{i}", "N", {"v": v}) for i, v in enumerate([nan, inf, -inf, 2.0])])
+    found = lambda *a, **k: sorted(r.id for r in g.nodes("N").where("v", *a, **k).collect())
+    assert found(equals=inf) == ["n1"] and found(equals=nan) == [] and found(">", 1.0) == ["n1", "n3"] and found("<", 1.0) == ["n2"]
+    assert g.nodes("N").min("v") == -inf and g.nodes("N").max("v") == inf
+
+
 def test_equality_is_by_tag_and_value(spark):
     values = [1, 1.0, "1", True, b"1", [1], None, dt.datetime(2020, 1, 1)]
     g = PropertyGraph.from_rows(spark, [(f"n{i}", "N", {"v": v}) for i, v in enumerate(values)] + [("none", "N", {})])
