@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
-import uuid
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import beside, cut, size_of  # noqa: F401  beside is for the operators
+
 #: The word rule of the text contracts: runs of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Only A-Z are lower-cased.
@@ -27,26 +31,32 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset (tests), a folder in the warehouse."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    return where or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet into the shared folder and reads it back.
+    """Cuts lineage: writes ``df`` as Parquet into the shared folder and reads it back (see ``plans.lineage``).
 
     What is read has a known size, survives the loss of any executor and is never computed twice.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillgraph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, name)
+
+
+def give_back() -> None:
+    """Gives memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: gives a task's memory back to the system at its end, as Spark keeps its workers for later tasks."""
 
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
-def beside(df: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """A written table for the small side of a join: sent to all executors up to ``most`` rows, hashed beyond that."""
-    return df.hint("broadcast" if df.count() <= most else "shuffle_hash")
+    return lean
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -55,7 +65,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def dealt_out(df: DataFrame, size: int = 64 << 20) -> int:
     """How many tasks to deal ``df`` out to: the session's shuffle partitions, more where each would get over ``size`` bytes of what Catalyst estimates."""
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    estimate = size_of(df)
     return max(shuffle_partitions(df.sparkSession), -(-estimate // size) if estimate < 1 << 60 else 0)  # without statistics it is no size
 
 

@@ -12,7 +12,9 @@ Documents with equal sets are one node. Where nodes meet behind a common token,
 emitted: the sizes', and that of parity bitmaps, whose distance is never more than that of the sets. Members of a large
 group then meet along a forest over the components known so far: a pair that passes the bounds stands for all others
 between the two components, until it is compared. Rounds of that leave few components, and all pairs across these that
-pass the bounds are compared in the end. A group of more members than a block holds is dealt out by pairs of its blocks.
+pass the bounds are compared in the end. Groups with one least node, which mostly hold the same nodes, meet together, so
+that a pair is made once and not behind each of its common tokens; more members than a block holds are dealt out by pairs
+of blocks, in the first round by blocks alone.
 Sets are compared exactly (as sorted 64-bit token hashes).
 
 Nulls: a null text is empty, and empty texts link with nothing. A document with a null doc_id links like any other, but
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, beside, dealt_out, mix64, slices, text_column, written
+from .common import ascii_lower, beside, dealt_out, frugal, mix64, slices, text_column, written
 from .components import connected_components
 
 SKETCH, CHUNKS = 1 << 20, 64
@@ -44,7 +46,7 @@ SMALL_GROUP = 16
 #: Rounds of meeting along forests before all pairs across components are compared.
 FOREST_ROUNDS = 3
 #: Members of a large group that meet in one task.
-BLOCK = 1024
+BLOCK = 512
 
 
 def token_sets(texts: list[str], words: int) -> list[np.ndarray]:
@@ -111,9 +113,34 @@ def all_pairs(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, components
             yield int(nodes[i]), int(nodes[j])
 
 
-def forest(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, components: np.ndarray, percent: int, block: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """Of those pairs, so many that they connect what all of them would."""
-    label = np.unique(components, return_inverse=True)[1]
+class Labels:
+    """Components as they grow together."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def of(self, components: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The labels that there are, and each member's as a place among them."""
+        own, at = np.unique(components, return_inverse=True)
+        roots, to = np.unique(np.array([self._find(c) for c in own.tolist()], np.int64), return_inverse=True)
+        return roots, to[at]
+
+    def _find(self, c: int) -> int:
+        path = []
+        while (up := self.root.get(c, c)) != c:
+            path.append(c)
+            c = up
+        self.root.update(dict.fromkeys(path, c))
+        return c
+
+    def join(self, one: int, others: list[int]) -> None:
+        self.root.update({x: one for x in others if x != one})
+
+
+def forest(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, components: np.ndarray, percent: int, block: np.ndarray | None = None, labels: Labels | None = None) -> Iterator[tuple[int, int]]:
+    """Of those pairs, so many that they connect what all of them would; ``labels`` knows what other groups connect."""
+    labels = labels or Labels()
+    roots, label = labels.of(components)
     for i in range(len(nodes)):
         x = near(sizes, bits, i, percent, block)
         x = x[label[x] != label[i]]
@@ -121,6 +148,7 @@ def forest(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, components: n
             other, at = np.unique(label[x], return_index=True)
             for j in x[at].tolist():
                 yield int(nodes[i]), int(nodes[j])
+            labels.join(int(roots[label[i]]), roots[other].tolist())
             label[np.isin(label, other)] = label[i]
 
 
@@ -136,9 +164,13 @@ def _bytes(rows: list) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
+def digest() -> Column:
+    """A digest of ``text``: with doc_id it names a document, also where there is no doc_id or several texts have one."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _digested(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a digest of the text: the two name a document, whatever its doc_id."""
-    return text_column(docs).withColumn("digest", F.xxhash64("text"))
+    return text_column(docs).withColumn("digest", digest())
 
 
 def describe(docs: DataFrame, words: int, share: int) -> DataFrame:
@@ -154,7 +186,7 @@ def describe(docs: DataFrame, words: int, share: int) -> DataFrame:
             counted = [np.ascontiguousarray(s[mix64(s) % np.uint64(share) == 0].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["digest"], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), _bytes(counted)], names=["doc_id", "digest", "n", "node", "counted"])
 
-    return written(_digested(docs).mapInArrow(run, "doc_id long, digest long, n long, node long, counted binary"), "nodes")
+    return written(_digested(docs).mapInArrow(frugal(run), "doc_id long, digest long, n long, node long, counted binary"), "nodes")
 
 
 def _rows_by(key: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -220,7 +252,7 @@ def lone_tokens(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, times).astype(np.int64))], names=["node", "lone"])
 
     packed = "bucket int, c0 binary, c1 binary"
-    counted = nodes.filter("node is not null").select("node", "counted").mapInArrow(emit, packed).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count, packed)
+    counted = nodes.filter("node is not null").select("node", "counted").mapInArrow(frugal(emit), packed).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(count), packed)
     return counted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "node long, lone long")
 
 
@@ -238,7 +270,7 @@ def possible_sets(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -
     keepers = keepers.join(lone_tokens(nodes), "node", "left").filter(F.coalesce("lone", F.lit(0)) < need)
     keepers = beside(written(keepers.select("node", F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest")), "keepers"), MOST_SENT)
     texts = _digested(docs).join(keepers, (F.col("digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("node", "text")
-    return written(texts.mapInArrow(sets, "node long, tokens binary, wide binary").groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("wide").alias("wide")), "tokens")
+    return written(texts.mapInArrow(frugal(sets), "node long, tokens binary, wide binary").groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("wide").alias("wide")), "tokens")
 
 
 def sketch_of(sets: DataFrame) -> np.ndarray:
@@ -289,63 +321,70 @@ def candidates(sets: DataFrame, sketch, percent: int) -> DataFrame:
                 yield _rows_by((t >> np.uint64(20)) % np.uint64(buckets), [t, *(np.repeat(x, n, axis=0) for x in rest)])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        names = ["kind", "a", "b", "n", "bits"]
         for t, v, n, bits in _by_bucket(batches, (np.uint64, np.int64, np.int32, np.uint64)):
             order = np.lexsort((v, n, t))
             t, v, n, bits = t[order], v[order], n[order].astype(np.int64), bits.reshape(-1, WIDTH)[order]
             edges = np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t))
             size = np.diff(edges)
             pairs: set[tuple[int, int]] = set()
-            large: list[tuple] = []
-            for i in np.flatnonzero(size > 1).tolist():
+            for i in np.flatnonzero((size > 1) & (size <= SMALL_GROUP)).tolist():
                 g = slice(edges[i], edges[i + 1])
-                if size[i] <= SMALL_GROUP:
-                    pairs.update((min(p), max(p)) for p in all_pairs(v[g], n[g], bits[g], np.arange(size[i]), percent))
-                else:
-                    token = int(t[g.start].view(np.int64))
-                    large += [(1, token, a, b, raw.tobytes()) for a, b, raw in zip(v[g].tolist(), n[g].tolist(), bits[g], strict=True)]
-            rows = [(0, a, b, None, None) for a, b in pairs] + large
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["kind", "a", "b", "n", "bits"])
+                pairs.update((min(p), max(p)) for p in all_pairs(v[g], n[g], bits[g], np.arange(size[i]), percent))
+            if pairs:
+                nothing = [pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(pairs), pa.int32()), *(pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)), *nothing], names=names)
+            large = np.repeat(size > SMALL_GROUP, size)
+            for some in np.array_split(np.flatnonzero(large), int(large.sum()) // 50_000 + 1) if large.any() else []:
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WIDTH), len(some), [None, pa.py_buffer(bits[some].tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(t[some].view(np.int64)), pa.array(v[some]), pa.array(n[some].astype(np.int32)), raw], names=names)
 
-    packed = sets.mapInArrow(emit, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "kind int, a long, b long, n int, bits binary")
+    packed = sets.mapInArrow(frugal(emit), "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(meet), "kind int, a long, b long, n int, bits binary")
 
 
-def across(groups: DataFrame, blocks: DataFrame, components: DataFrame, sets: DataFrame, percent: int, last: bool) -> DataFrame:
+def across(groups: DataFrame, components: DataFrame, sets: DataFrame, percent: int, turn: int, last: bool) -> DataFrame:
     """Pairs of large groups between nodes that are not yet connected: along forests, or all that pass the bounds.
 
-    ``blocks`` (g, blocks) tells of groups that are dealt out by pairs of blocks. The last round bounds by the wide bitmaps.
+    The first turn (0) looks inside blocks only; the last round bounds by the wide bitmaps.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple]) -> pa.RecordBatch:
-            component, n, node, block, bits = zip(*rows, strict=True)
+        at, held, place, labels, seen = None, [], None, Labels(), set()
+
+        def pairs() -> pa.RecordBatch:
+            component, n, node, block, bits = zip(*held, strict=True)
             component, n, node, block, bits = np.array(component), np.array(n, np.int64), np.array(node), np.array(block), np.frombuffer(b"".join(bits), np.uint64).reshape(len(node), -1)
             order = np.lexsort((node, n))
             apart = block[order] if block.min() != block.max() else None
-            found = {(min(p), max(p)) for p in (all_pairs if last else forest)(node[order], n[order], bits[order], component[order], percent, apart)}
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+            found = all_pairs(node[order], n[order], bits[order], component[order], percent, apart) if last else forest(node[order], n[order], bits[order], component[order], percent, apart, labels)
+            fresh = [p for p in dict.fromkeys((min(p), max(p)) for p in found) if p not in seen]
+            seen.update(fresh)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], names=["a", "b"])
 
-        current, held = None, []
         for b in batches:
-            for g, x, y, *rest in zip(*(b[c].to_pylist() for c in ("g", "x", "y", "component", "n", "node", "block", "bits")), strict=True):
-                if (g, x, y) != current and held:
-                    yield pairs(held)
+            for home, x, y, g, *rest in zip(*(b[c].to_pylist() for c in ("home", "x", "y", "g", "component", "n", "node", "block", "bits")), strict=True):
+                if (home, x, y, g) != at and held:
+                    yield pairs()
                     held = []
-                current = g, x, y
+                if (home, x, y) != place:
+                    place, labels, seen = (home, x, y), Labels(), set()
+                at = home, x, y, g
                 held.append(tuple(rest))
         if held:
-            yield pairs(held)
+            yield pairs()
 
     placed = groups.select(F.col("a").alias("g"), F.col("b").alias("node"), "n", "bits").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = placed.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g")
-    rows = placed.join(apart, "g", "left_semi")
+    apart = placed.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("home"), F.count("*").alias("members")).filter("lo <> hi").select("g", "home", "members")
+    apart = written(apart, "groups")
+    homes = apart.groupBy("home").agg(F.ceil(F.max("members") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(beside(written(apart.join(homes, "home").select("g", "home", "blocks"), "groups")), "g")
     if last:
         rows = rows.drop("bits").join(sets.select("node", F.col("wide").alias("bits")), "node")
-    dealt = rows.join(blocks, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("g", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "component", "n", "node", "block", "bits")
-    return dealt.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y").mapInArrow(run, PAIRS)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("with", F.col("block") if turn == 0 else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("home", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "g", "component", "n", "node", "block", "bits")
+    return rows.repartition("home", "x", "y").sortWithinPartitions("home", "x", "y", "g").mapInArrow(frugal(run), PAIRS)
 
 
 def _meet(rows: DataFrame, pairs: DataFrame, column: str, alike) -> DataFrame:
@@ -369,7 +408,7 @@ def _meet(rows: DataFrame, pairs: DataFrame, column: str, alike) -> DataFrame:
     rows = rows.select("node", column)
     hubs = rows.join(pairs.select("a").distinct(), F.col("node") == F.col("a"), "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), column)
     partners = pairs.join(rows.withColumnRenamed("node", "b"), "b").select("a", "b", column)
-    return hubs.unionByName(partners).repartition("a").sortWithinPartitions(F.col("a"), F.col("b").asc_nulls_first()).mapInArrow(compare, PAIRS)
+    return hubs.unionByName(partners).repartition("a").sortWithinPartitions(F.col("a"), F.col("b").asc_nulls_first()).mapInArrow(frugal(compare), PAIRS)
 
 
 def further_prefixes(sets: DataFrame, sketch, percent: int) -> DataFrame:
@@ -398,10 +437,11 @@ def verify(sets: DataFrame, prefixes: DataFrame, pairs: DataFrame, percent: int)
     return _meet(sets, written(_meet(prefixes, pairs, "prefixes", share_prefixes), "pairs"), "tokens", lambda a, b: linked(a, b, percent))
 
 
-def join_documents(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document.
+def place_documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, digest (of the text), n, component and component_id of every document.
 
-    Documents link whose sets have at least ``percent`` / 100 of their union in common.
+    ``component`` is the same for all that links connect, also where they have no doc_id, and null without words;
+    ``component_id`` is the least doc_id of a component, null if it has none.
     """
     nodes = describe(docs, words, counted_share(percent))
     sets = possible_sets(docs, nodes, words, percent)
@@ -410,13 +450,11 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFr
     prefixes = further_prefixes(sets, sketch, percent)
     sketch.unpersist()
     groups = met.filter("kind = 1")
-    blocks = groups.groupBy(F.col("a").alias("g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    blocks = beside(written(blocks, "blocks"))
     pairs = written(met.filter("kind = 0").select("a", "b").distinct(), "pairs")
     links = written(verify(sets, prefixes, pairs, percent), "links")
     components = written(connected_components(links), "components")
     for turn in range(FOREST_ROUNDS + 1):
-        more = written(across(groups, blocks, components, sets, percent, turn == FOREST_ROUNDS).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = written(across(groups, components, sets, percent, turn, turn == FOREST_ROUNDS).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
         new = written(verify(sets, prefixes, more, percent), "links")
@@ -424,6 +462,16 @@ def join_documents(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFr
         links = links.unionByName(new)
         if not new.isEmpty():
             components = written(connected_components(links), "components")
-    placed = nodes.select("doc_id", "n", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(components, "node", "left")
+    own = written(own, "components")
+    first = beside(written(own.filter("component is not null").groupBy("component").agg(F.min("least").alias("first")), "first"))
+    ids = own.join(first, "component", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("first", "least").alias("component_id"))
+    return nodes.select("doc_id", "digest", "n", "node").join(written(ids, "components"), "node", "left").drop("node")
+
+
+def join_documents(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document.
+
+    Documents link whose sets have at least ``percent`` / 100 of their union in common.
+    """
+    return place_documents(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

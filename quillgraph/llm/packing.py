@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, text_column, written
+from .common import frugal, ragged, slices, text_column, written
 
 
 #: A worker's table of words holds about so many (20 bytes each besides their ids) before it starts anew.
@@ -291,7 +291,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
                         ranks[key] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names=names)
 
-    pieces = written(text_column(docs).mapInArrow(encode, FIRST), "pieces")
+    pieces = written(text_column(docs).mapInArrow(frugal(encode), FIRST), "pieces")
     key = (F.col("length") % window).alias("key")
     counts = written(pieces.groupBy("part", key).agg(F.count("*").alias("n")), "counts")
     histogram = {r["key"]: r["n"] for r in counts.groupBy("key").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
@@ -320,4 +320,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
 
     ranked = pieces.withColumn("key", key).join(offsets, ["part", "key"], "left")
     placed = ranked.select("doc_id", "doc_tokens", "start", "length", "crc", "ids", (F.col("rank") + F.coalesce("before", F.lit(0))).alias("rank"))
-    return placed.mapInArrow(place, PACKED)
+    return placed.mapInArrow(frugal(place), PACKED)

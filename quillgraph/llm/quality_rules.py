@@ -27,15 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, mix64, slices, written
+from .common import beside, frugal, give_back, mix64, slices, written
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
 #: Order of the model over code points, and how many code points there are.
 LONG, UNIVERSE = 5, 0x110000
-#: Texts that are scored together hold about so many characters.
-CHUNK = 2_000_000
+#: Texts that are counted or scored together hold about so many characters.
+CHUNK = 1 << 19
 #: N-grams (16 bytes each) of the models that are sent to all executors at a time; a model of more is joined.
-MOST_NGRAMS = 1 << 22
+MOST_NGRAMS = 1 << 21
 #: Where the model is joined, a block of texts holds about so many characters.
 BLOCK = 16_000_000
 #: A task holds up to about so many n-grams while it counts.
@@ -127,7 +127,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     keys, n, points = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(keys)
     first = np.flatnonzero(np.append(True, keys[order[1:]] != keys[order[:-1]]))
-    return keys[order[first]], np.add.reduceat(n[order], first), points[order[first]]
+    return keys[order[first]], np.add.reduceat(n[order].astype(np.int64), first), points[order[first]]
 
 
 def modelled(docs: DataFrame) -> DataFrame:
@@ -138,20 +138,24 @@ def modelled(docs: DataFrame) -> DataFrame:
 
 
 def _counted(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, counts and code points of the distinct n-grams that end at a text's characters."""
+    """Hashes, counts and code points of the distinct n-grams that end at a text's characters, in small types."""
     ends = np.flatnonzero(points[LONG - 1 :]) + LONG - 1
     present = np.flatnonzero(np.bincount(points, minlength=1))
     if len(present) > 1 << DENSE:
         keys, first, n = np.unique(hashed(_mixed(points), ends, LONG), return_index=True, return_counts=True)
-        return keys, n, np.stack([points[ends[first] - m] for m in range(LONG - 1, -1, -1)], axis=1)
+        return keys, n.astype(np.uint32), _narrow(np.stack([points[ends[first] - m] for m in range(LONG - 1, -1, -1)], axis=1))
     number = np.zeros(int(present[-1]) + 1, np.uint64)
     number[present] = np.arange(len(present))
     small, packed = number[points], np.zeros(len(ends), np.uint64)
     for m in range(LONG - 1, -1, -1):
         packed = packed << np.uint64(DENSE) | small[ends - m]
     packed, n = np.unique(packed, return_counts=True)
-    grams = np.stack([present[(packed >> np.uint64(DENSE * m) & np.uint64((1 << DENSE) - 1)).astype(np.int64)] for m in range(LONG - 1, -1, -1)], axis=1).astype(np.uint32)
-    return hashed(_mixed(grams.ravel()), np.arange(LONG - 1, grams.size, LONG), LONG), n, grams
+    grams = np.stack([present[(packed >> np.uint64(DENSE * m) & np.uint64((1 << DENSE) - 1)).astype(np.int64)] for m in range(LONG - 1, -1, -1)], axis=1)
+    return hashed(_mixed(grams.ravel()), np.arange(LONG - 1, grams.size, LONG), LONG), n.astype(np.uint32), _narrow(grams)
+
+
+def _narrow(points: np.ndarray) -> np.ndarray:
+    return points.astype(np.uint16 if not points.size or points.max() < 1 << 16 else np.uint32)
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
@@ -165,7 +169,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
-        for b in (part for batch in batches for part in slices(batch, size=16 << 20)):
+        for b in (part for batch in batches for part in slices(batch)):
             by: dict[str, list[str]] = {}
             for model, text in zip(b["own"].to_pylist(), b["text"].to_pylist(), strict=True):
                 if text:
@@ -182,7 +186,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         for model, own in held.items():
             yield from rows_of(model, _summed(own))
 
-    return modelled(docs).select("own", "text").mapInArrow(run, "model string, gram string, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
+    return modelled(docs).select("own", "text").mapInArrow(frugal(run), "model string, gram string, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
 MODEL = "model string, key long, p float, backoff float"
@@ -246,13 +250,13 @@ class Arrays:
         """Where the keys with each value of their upper bits begin: as many values as keys, so a search is a step or two."""
         bits = max(1, len(self.keys).bit_length() - 1)
         shift = np.uint64(64 - bits)
-        return shift, np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int64)
+        return shift, np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
 
     def find(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A place for each wanted key, and whether the key is there."""
         shift, first = self.places
         top = len(self.keys) - 1
-        at = np.minimum(first[(want >> shift).astype(np.int64)], top)
+        at = np.minimum(first[(want >> shift).astype(np.int64)], top).astype(np.int64)
         behind = np.flatnonzero((self.keys[at] < want) & (at < top))
         while len(behind):
             at[behind] += 1
@@ -351,14 +355,15 @@ def measure(docs: DataFrame, model: DataFrame, most: int = MOST_NGRAMS) -> DataF
     for i, part in enumerate(parts):
         own = F.col("other").isin(part)
         mine = ~F.col("other").isin(sent_names[len(part) :] + large) if i == 0 else own  # texts without a model go with the first part
-        sent = docs.sparkSession.sparkContext.broadcast(arrays(model.filter(F.col("model").isin(part)).toArrow()))
+        sent = docs.sparkSession.sparkContext.broadcast(arrays(model.filter(F.col("model").isin(part)).toArrow()))  # at most ``most`` rows
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in (x for batch in batches for x in slices(batch)):
                 yield _measured(b, sent.value, keep)
 
-        measured = written(rows.filter(mine).mapInArrow(run, schema), "measured")
+        measured = written(rows.filter(mine).mapInArrow(frugal(run), schema), "measured")
         sent.destroy()
+        give_back()
         out = measured if out is None else out.unionByName(measured)
     if large:
         out = out.unionByName(written(_measure_joined(rows.filter(F.col("other").isin(large)), model, keep, schema), "measured"))
@@ -371,7 +376,7 @@ def _measure_joined(rows: DataFrame, model: DataFrame, keep: list[str], schema:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(*keep, "text"), F.lit(size // BLOCK + 1)))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch, size=16 << 20)):
+        for b in (part for batch in batches for part in slices(batch)):
             by: dict[tuple, list[str]] = {}
             for block, name, text in zip(b["block"].to_pylist(), b["other"].to_pylist(), b["text"].to_pylist(), strict=True):
                 by.setdefault((block, name), []).append(text)
@@ -383,7 +388,7 @@ def _measure_joined(rows: DataFrame, model: DataFrame, keep: list[str], schema:
                         keys = np.unique(hashed(mixed, slice(LONG - 1 - (k < LONG), len(mixed)), k)).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array([name] * len(keys), pa.string()), pa.array(keys)], names=["block", "model", "key"])
 
-    asked = dealt.select("block", "other", "text").repartition("block").mapInArrow(wanted, "block long, model string, key long").distinct()
+    asked = dealt.select("block", "other", "text").repartition("block").mapInArrow(frugal(wanted), "block long, model string, key long").distinct()
     answers = asked.join(model, ["model", "key"]).select("block", "model", "key", "p", "backoff")
 
     def run(texts: pa.Table, own: pa.Table) -> pa.Table:
