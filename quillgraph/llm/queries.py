@@ -40,12 +40,11 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, counts and spans of the base kinds and of all kinds."""
-    addresses, findings, _ = secret_scan.scan(docs.select(F.col("doc_id").alias("path"), "text"))
+    """doc_id, counts and spans of the base kinds and of all kinds: a first run, whose ledger is still empty."""
+    rows, _ = secret_scan.scan_paths(docs.select(F.col("doc_id").alias("path"), "text"))
     found = F.col("found")
     base = F.filter(found, lambda s: s["rank"] < len(secret_scan.BASE_RULES))
     counts = [F.expr(f"cast(size(filter(found, s -> s.kind = '{r.kind}')) as bigint)").alias(f"n_{r.kind}") for r in secret_scan.BASE_RULES]
-    rows = secret_scan.findings_by_path(addresses, findings)
     return rows.select(F.col("path").alias("doc_id"), *counts, F.sha2(secret_scan.render(base), 256).alias("base_sha256"), secret_scan.render(found).alias("spans"))
 
 

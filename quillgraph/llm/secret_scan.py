@@ -1,25 +1,25 @@
 """Secret scan over an incremental blob ledger, in DataFrame operations only.
 
 Every version of a text is addressed by the SHA-256 of its content. A (blob, rule version) pair that the ledger already
-holds is not scanned again; of the others, one copy of each blob is scanned. The ledger keeps what was found with each
-pair, and ``scan_paths`` joins old and new findings back to every path that holds the blob. Spans count code points, the
-end excluded.
+holds is not scanned again; of the blobs with other pairs, one path's copy is written to a table of its own and scanned
+there, so that no plan can scan the others. The ledger keeps what was found with each pair; old and new findings are joined
+back to every path that holds the blob. Spans count code points, the end excluded.
 
-Positions come from one regular expression used twice: the matches and the gaps between them alternate, so their
-lengths add up to each match's start.
+Positions come from one regular expression used twice: the matches and the gaps between them alternate, so a running
+sum of their lengths, over rows, gives each match's start, however many matches a text has.
 
-Nulls: a null text is empty; a null path is a path like any other. Repeated rows get their findings each. An empty
-table gives no rows. Other columns are ignored.
+Nulls: a null text is empty; a null path is a path like any other. Repeated rows get their findings each. Texts of any
+length are scanned whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import beside, written
 
 
 @dataclass(frozen=True)
@@ -45,72 +45,80 @@ BASE_RULES = (
 )
 #: Public formats of further secrets.
 MORE_RULES = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[ \t\r\n]+[A-Za-z0-9+/=]{16,})*(?:(?:[ \t\r\n]+[A-Za-z0-9+/=]+)?[ \t\r\n]*-----END [A-Z ]*PRIVATE KEY-----)?"),
     Rule("github", 1, r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url", 1, r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s/@]{1,128}@[A-Za-z0-9.-]+"),
+    Rule("url", 2, r"\b[a-z][a-z0-9+.-]{1,20}://[^ \t\r\n\f\x0B:/@]+:[^ \t\r\n\f\x0B/@]+@[A-Za-z0-9.-]+"),
 )
 RULES = BASE_RULES + MORE_RULES
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Leftmost, non-overlapping matches of one rule as SPANS."""
+#: A match and the gap before it, by rule: lengths in code points, and whether the match counts.
+_PIECE = "array<struct<rank:int,i:int,gap:bigint,match:bigint,counts:boolean,kind:string>>"
+
+
+def pieces(text: Column, rule: Rule, rank: int) -> Column:
+    """Leftmost, non-overlapping matches of one rule with the gaps before them, as _PIECE."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    pieces = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), matches.alias("match"), groups.alias("group"))
-    start = lambda acc, x: acc["at"] + F.char_length(x["gap"]).cast("long")
-    length = lambda x: F.coalesce(F.char_length(x["match"]), F.lit(0)).cast("long")
-    found = lambda acc, x: F.when(F.char_length(x["group"]) >= rule.least, F.array(F.struct(start(acc, x).alias("start"), F.lit(rank).alias("rank"), (start(acc, x) + length(x)).alias("end"), F.lit(rule.kind).alias("kind")))).otherwise(F.array().cast(SPANS))
-    folded = F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("found")), lambda acc, x: F.struct((start(acc, x) + length(x)).alias("at"), F.concat(acc["found"], found(acc, x)).alias("found")))
-    return F.when(text.rlike(rule.pattern), folded["found"]).otherwise(F.array().cast(SPANS))
+    zipped = F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"), groups.alias("group"))
+    length = lambda c: F.char_length(c).cast("long")
+    row = lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), length(x["gap"]).alias("gap"), length(x["match"]).alias("match"), (length(x["group"]) >= rule.least).alias("counts"), F.lit(rule.kind).alias("kind"))
+    return F.when(text.rlike(rule.pattern), F.transform(zipped, row)).otherwise(F.array().cast(_PIECE))
+
+
+def _bit(i: int) -> Column:
+    return F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+
+
+#: Blobs to scan are named to all executors up to this number (44 bytes each), and joined beyond it.
+MOST_SENT = 1 << 18
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(path, text) rows against a ledger (blob, rule).
+    """(path, text) rows against a ledger (blob, rule, found).
 
-    Returns the addresses (path, blob), the findings (blob, found) of newly scanned pairs only, and the pairs now scanned
-    (blob, rule, found), which the caller appends to its ledger. Only one copy of each blob with unseen pairs has its
-    text scanned. With a ledger, ``scan_paths`` tells what all paths hold.
+    Returns the addresses (path, blob); the findings (blob, found) of all addressed blobs that hold any, whether they
+    were known or are new; and the pairs now scanned (blob, rule, found), which the caller appends to its ledger. Ledger
+    rows without findings (a null, or no such column) do not say what was found, so their pairs are scanned again.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = versions.select("path", text.alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
     addresses = written(held.select("path", "blob"), "blobs")
-    wanted = addresses.groupBy("blob").agg(F.min("path").alias("keeper"))
-    pairs = wanted.select("blob", "keeper", F.explode(F.array(*(F.lit(r.key) for r in rules))).alias("rule"))
-    if ledger is not None:
-        pairs = pairs.join(ledger.select("blob", "rule"), ["blob", "rule"], "left_anti")
-        todo = pairs.groupBy("blob").agg(F.first("keeper").alias("keeper"), F.collect_set("rule").alias("rules"))
-    else:
-        todo = wanted.withColumn("rules", F.array(*(F.lit(r.key) for r in rules)))
-    todo = todo.withColumnRenamed("blob", "unseen")
-    unseen = held.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("unseen")) & F.col("path").eqNullSafe(F.col("keeper")))
-    by_rule = [F.when(F.array_contains("rules", r.key), spans(F.col("text"), r, i)).otherwise(F.array().cast(SPANS)) for i, r in enumerate(rules)]
-    found = unseen.select("blob", F.concat(*by_rule).alias("found")).filter(F.size("found") > 0)
-    findings = found.groupBy("blob").agg(F.first(F.array_sort("found")).alias("found"))
-    keys = F.array(*(F.lit(r.key) for r in rules))
-    of_rule = F.filter(F.coalesce("found", F.array().cast(SPANS)), lambda s: F.get(keys, s["rank"]) == F.col("rule"))
-    return addresses, findings, pairs.select("blob", "rule").join(findings, "blob", "left").select("blob", "rule", of_rule.alias("found"))
-
-
-def known(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, found), one row a blob, of what a ledger (blob, rule, found) holds for ``rules``; other rules and versions are left out."""
-    rank = F.array_position(F.array(*(F.lit(r.key) for r in rules)), F.col("rule")).cast("int") - 1
-    pairs = ledger.filter(F.col("rule").isin([r.key for r in rules])).groupBy("blob", "rule").agg(F.first("found").alias("found"))
-    ranked = pairs.select("blob", F.transform("found", lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("found"))
-    return ranked.filter(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    wanted = addresses.groupBy("blob").agg(F.min(F.xxhash64("path")).alias("keeper"))
+    todo, old = wanted.withColumn("mask", F.lit((1 << len(rules)) - 1)), None
+    if ledger is not None and "found" in ledger.columns:
+        rank = F.array_position(F.array(*(F.lit(r.key) for r in rules)), F.col("rule")).cast("int") - 1
+        kept = ledger.filter(F.col("rule").isin([r.key for r in rules]) & F.col("found").isNotNull()).select("blob", "rule", "found", rank.alias("rank"))
+        old = kept.join(addresses.select("blob"), "blob", "left_semi")
+        known = old.groupBy("blob").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("known"))
+        todo = wanted.join(known, "blob", "left").select("blob", "keeper", F.lit((1 << len(rules)) - 1).bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0)))).alias("mask")).filter("mask <> 0")
+    todo = written(todo, "unseen-names")
+    named = beside(todo.withColumnRenamed("blob", "unseen"), MOST_SENT)
+    unseen = written(held.join(named, (F.col("blob") == F.col("unseen")) & (F.xxhash64("path") == F.col("keeper"))).select("blob", "mask", "text"), "unseen")
+    by_rule = [F.when(_bit(i), pieces(F.col("text"), r, i)).otherwise(F.array().cast(_PIECE)) for i, r in enumerate(rules)]
+    own = Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = unseen.select("blob", F.explode(F.concat(*by_rule)).alias("p")).select("blob", "p.*").dropDuplicates(["blob", "rank", "i"])  # a copy may come twice where paths repeat
+    ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("match")).over(own)).filter("counts")
+    span = F.struct((F.col("end") - F.col("match")).alias("start"), "rank", "end", "kind")
+    new = written(ends.groupBy("blob", "rank").agg(F.array_sort(F.collect_list(span)).alias("found")), "found")
+    every = new if old is None else new.unionByName(_ranked(old))
+    findings = every.filter(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    scanned = todo.select("blob", F.explode(F.array(*(F.when(_bit(i), F.struct(F.lit(i).alias("rank"), F.lit(r.key).alias("rule"))) for i, r in enumerate(rules)))).alias("r")).filter("r is not null").select("blob", "r.rank", "r.rule")
+    return addresses, findings, scanned.join(new, ["blob", "rank"], "left").select("blob", "rule", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
+
+
+def _ranked(ledger: DataFrame) -> DataFrame:
+    """One row a pair of a ledger, its spans' ranks those of today's rules."""
+    pairs = ledger.groupBy("blob", "rank").agg(F.first("found").alias("found"))
+    return pairs.select("blob", "rank", F.transform("found", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))).cast(SPANS).alias("found"))
 
 
 def scan_paths(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(path, found) for every path, with what the ledger already knows, and the rows to append to the ledger.
-
-    Ledger rows without findings (a null, or no such column) do not say what was found, so their pairs are scanned again.
-    """
-    held = ledger.select("blob", "rule", "found").filter(F.col("found").isNotNull()) if ledger is not None and "found" in ledger.columns else None
-    addresses, _, more = scan(versions, held, rules)
-    more = written(more, "scanned")
-    every = more if held is None else held.join(addresses.select("blob").distinct(), "blob", "left_semi").unionByName(more)
-    return findings_by_path(addresses, known(every, rules)), more
+    """(path, found) for every path, with what the ledger already knows, and the rows to append to the ledger."""
+    addresses, findings, scanned = scan(versions, ledger, rules)
+    return findings_by_path(addresses, findings), scanned
 
 
 def findings_by_path(addresses: DataFrame, findings: DataFrame) -> DataFrame:
