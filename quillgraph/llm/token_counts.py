@@ -1,23 +1,26 @@
 """Offset-mapped token attribution.
 
 A whole document is encoded once. The tokens' character spans are then interval-joined to its sections (by default its
-lines; any ordered, disjoint spans do), and a token that crosses a boundary is allocated by an explicit rule:
+lines; any function from a text to its sections' starts does) or to its fields (several columns, read as one text with a
+line break behind each but the last, which belongs to the field before), and a token that crosses a boundary is
+allocated by an explicit rule:
 ``start`` (the section of its first character), ``end`` (of its last one) or ``majority`` (the section that holds most
 of its characters, the earlier one on a tie).
 
-Nulls: a null text is empty; an empty text has one empty section with no tokens. Repeated rows are counted apart.
-An empty table gives no rows. Other columns are ignored.
+Nulls: a null text or field is empty; an empty text has one empty section with no tokens. A null doc_id is carried.
+Repeated rows, and rows that share a doc_id, are counted apart. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices, text_column
 
@@ -63,8 +66,12 @@ def attribute(first: np.ndarray, last: np.ndarray, starts: np.ndarray, rule: str
     return to, crossing
 
 
-def count_tokens(docs: DataFrame, ranks_path: str, rule: str = "majority") -> DataFrame:
-    """One row per section of every document: its character span and the tokens allocated to it. No shuffle."""
+#: Stands behind each field but the last.
+JOINT = "\n"
+
+
+def count_tokens(docs: DataFrame, ranks_path: str, rule: str = "majority", sections: Callable[[str], np.ndarray] = line_sections, fields: Sequence[str] | None = None) -> DataFrame:
+    """One row per section (or field) of every document: its character span and the tokens allocated to it. No shuffle."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
 
@@ -76,8 +83,9 @@ def count_tokens(docs: DataFrame, ranks_path: str, rule: str = "majority") -> Da
         for b in (part for batch in batches for part in slices(batch)):
             ids: list[int | None] = []
             columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                starts = line_sections(text)
+            ends = b["ends"].to_pylist() if fields else [None] * b.num_rows
+            for doc_id, text, own in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), ends, strict=True):
+                starts = sections(text) if own is None else np.array([0, *own[:-1]], np.int64)
                 n, crossing = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
                 if text:
                     to, crosses = attribute(*token_spans(np.array(encoding.encode_ordinary(text)), widths, text.encode()), starts, rule)
@@ -88,4 +96,9 @@ def count_tokens(docs: DataFrame, ranks_path: str, rule: str = "majority") -> Da
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c), pa.int64()) for c in columns)], names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
 
-    return text_column(docs).mapInArrow(run, SCHEMA)
+    if not fields:
+        return text_column(docs).mapInArrow(run, SCHEMA)
+    parts = [F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("" if i == len(fields) - 1 else JOINT)) for i, c in enumerate(fields)]
+    ends = [sum((F.char_length(p).cast("long") for p in parts[: i + 1]), F.lit(0).cast("long")) for i in range(len(parts))]
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(*parts).alias("text"), F.array(*ends).alias("ends"))
+    return whole.mapInArrow(run, SCHEMA)
