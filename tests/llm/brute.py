@@ -36,6 +36,75 @@ def url(u, rules):
     return host, path, *(max(fits)[1:] if fits else (None, None))
 
 
+def shape(path, depth=8):
+    segments = (path[1:] if path.startswith("/") else path).split("/")
+    if len(segments) > depth:
+        segments = [*segments[: depth - 1], "/".join(segments[depth - 1 :])]
+    out = []
+    for s in segments:
+        if re.fullmatch(r"(?=.*[0-9])[0-9a-fA-F-]{8,}", s):
+            out.append("{id}")
+        else:
+            out.append(re.sub("[0-9]+", "{n}", s.translate({123: "(", 125: ")"})))
+    return tuple(out)
+
+
+def templates(rows, min_children=16, max_share=0.05, z=2.0, smoothing=4.0, prior=0.25):
+    """rows: (host, shape, bad or None); (host, shape) -> (template, purity), node by node."""
+    leaves = {}
+    for host, shape_, bad in rows:
+        leaf = leaves.setdefault((host, shape_), [0, 0, 0])
+        leaf[0] += 1
+        leaf[1] += bad is not None
+        leaf[2] += bad or 0
+    out = {}
+
+    def total(keys):
+        return [sum(leaves[k][i] for k in keys) for i in range(3)]
+
+    def visit(keys, level, template, base):
+        n, labelled, bad = total(keys)
+        purity = (bad + smoothing * base) / (labelled + smoothing)
+        children, following = defaultdict(list), Counter()
+        for k in keys:
+            if len(k[1]) <= level:
+                out[k] = (template, purity)
+            else:
+                children[k[1][level]].append(k)
+        after = lambda k: k[1][level + 1] if len(k[1]) > level + 1 else "{end}"
+        inner = [k for own in children.values() for k in own]
+        for k in inner:
+            following[after(k)] += leaves[k][0]
+        all_n, all_labelled, all_bad = total(inner)
+        rate = (all_bad + 0.5) / (all_labelled + 1)
+        branch = {}
+        for name, own in children.items():
+            cn, cl, cb = total(own)
+            alike = cl == 0 or abs(cb / cl - rate) <= z * math.sqrt(rate * (1 - rate) / cl) + 1e-9
+            cells = Counter()
+            for k in own:
+                cells[after(k)] += leaves[k][0]
+            chi = sum((cells[x] - cn * following[x] / all_n) ** 2 / (cn * following[x] / all_n) for x in following)
+            if alike and len(children) >= min_children and cn <= max_share * all_n:
+                branch[name] = "{*}"
+            elif alike and chi <= len(following) - 1 + z * math.sqrt(2 * max(len(following) - 1, 1)) + 1e-9:
+                branch[name] = "{~}"
+        members = Counter(branch.values())
+        grouped = defaultdict(list)
+        for name, own in children.items():
+            grouped[branch[name] if members[branch.get(name)] > 1 else name] += own
+        for name, own in grouped.items():
+            _, cl, cb = total(own)
+            visit(own, level + 1, f"{template}/{name}", (bad - cb + smoothing * base) / (labelled - cl + smoothing))
+
+    by = defaultdict(list)
+    for k in leaves:
+        by[k[0]].append(k)
+    for keys in by.values():
+        visit(keys, 0, "", prior)
+    return out
+
+
 KINDS = (
     ("assign", re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
@@ -170,3 +239,22 @@ def check_packing(docs, rows, tokenizer, window=4096):
         total += end
         padding += 0 if end & (end - 1) == 0 else window - end
     return padding, total
+
+
+def token_sections(text, encoding, starts, rule):
+    """(n_tokens, n_crossing) of each section, token by token and character by character."""
+    raw, owner = (text or "").encode(), []
+    for i, c in enumerate(text or ""):
+        owner += [i] * len(c.encode())
+    section = lambda i: max(k for k, s in enumerate(starts) if s <= i)
+    counts, at = [[0, 0] for _ in starts], 0
+    for token in encoding.encode_ordinary(text or ""):
+        width = len(encoding.decode_single_token_bytes(token))
+        chars = sorted(set(owner[at : at + width]))
+        at += width
+        held = Counter(section(i) for i in chars)
+        to = {"start": section(chars[0]), "end": section(chars[-1]), "majority": min(held, key=lambda k: (-held[k], k))}[rule]
+        counts[to][0] += 1
+        counts[to][1] += len(held) > 1
+    assert at == len(raw)
+    return [tuple(x) for x in counts]
