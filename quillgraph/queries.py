@@ -197,7 +197,7 @@ def where_key_as_it_is(spark, d):
     return _ids(_odd_keys(spark, d).nodes("Part").where("size's `a.b` $.x", ">=", 40).to_df())
 
 
-@query("SELECT 'customer:' || c_custkey AS id, 'Customer' AS label, c_name AS name, c_nationkey AS nation, c_acctbal AS acctbal, c_mktsegment AS segment, c_custkey AS seq FROM customer WHERE c_nationkey = 7")
+@query("SELECT 'customer:' || c_custkey AS id, 'Customer' AS label, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_acctbal AS acctbal, c_mktsegment AS segment, c_custkey AS seq FROM customer WHERE c_nationkey = 7")
 def whole_rows(spark, d):
     rows = commerce(spark, d).nodes("Customer").where("nationkey", "=", 7).to_df()
     return rows.select("id", F.array_max(F.array_intersect("labels", F.array(F.lit("Customer")))).alias("label"), F.col("name__string").alias("name"), F.col("nationkey__int").alias("nation"), F.col("acctbal__double").alias("acctbal"), F.col("mktsegment__string").alias("segment"), "seq")
@@ -481,11 +481,11 @@ def shortest_path_among_equals(spark, d):
 
 
 @query("SELECT 0 AS length WHERE false")
-def shortest_path_backwards(spark, d):
-    return lattice(spark, d).shortest_path("customer:45", "customer:12").select("length")
+def shortest_path_none(spark, d):
+    return commerce(spark, d).shortest_path("nation:3", "customer:1", "IN_REGION").select("length")
 
 
-@query("SELECT 0 AS length, '12' AS nodes, '' AS edges")
+@query("SELECT CAST(0 AS BIGINT) AS length, '12' AS nodes, '' AS edges")
 def shortest_path_to_itself(spark, d):
     return _path_rows(lattice(spark, d).shortest_path("customer:12", "customer:12"))
 

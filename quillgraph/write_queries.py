@@ -106,7 +106,7 @@ def store_edges(spark, d):
     return shop(spark, d).store.graph().edges("PLACED").unordered().select("id", _value("totalprice", "d"))
 
 
-@query("SELECT 'serves:' || s_suppkey AS id, 'supplier:' || s_suppkey AS from_id, 'customer:' || s_suppkey AS to_id, 2020 AS since FROM supplier")
+@query("SELECT 'serves:' || s_suppkey AS id, 'supplier:' || s_suppkey AS from_id, 'customer:' || s_suppkey AS to_id, CAST(2020 AS BIGINT) AS since FROM supplier")
 def store_added_edges(spark, d):
     return shop(spark, d).store.graph().edges("SERVES").unordered().select("id", "from_id", "to_id", _value("since", "i"))
 
@@ -172,7 +172,7 @@ def store_counters(spark, d):
     return about.withColumn("next", F.lit(journal.next_counter(store.journal(), "shop")).cast("bigint"))
 
 
-@query("SELECT error, n FROM (VALUES ('EndpointMissing', 0), ('GraphError', 0), ('GraphError', 0), ('GraphError', 0), ('LastLabel', 0), ('NotFound', 0), ('NotFound', 0)) v(error, n)")
+@query("SELECT error, CAST(n AS BIGINT) AS n FROM (VALUES ('EndpointMissing', 0), ('GraphError', 0), ('GraphError', 0), ('GraphError', 0), ('LastLabel', 0), ('NotFound', 0), ('NotFound', 0)) v(error, n)")
 def store_refusals(spark, d):
     """What each breach of a rule raises, and how many journal rows it leaves."""
     store, one = shop(spark, d).store, spark.range(1)
@@ -241,7 +241,7 @@ def single_node_writes(spark, d):
     return small(spark, d).graph().all_nodes().unordered().select("id", F.array_join("labels", ",").alias("labels"), _value("name", "s"), _value("acctbal", "d"))
 
 
-@query("SELECT 'next:' || k AS id, CASE k WHEN 1 THEN 100 ELSE k END AS weight FROM (VALUES (1), (3), (4), (5)) v(k)")
+@query("SELECT 'next:' || k AS id, CAST(CASE k WHEN 1 THEN 100 ELSE k END AS BIGINT) AS weight FROM (VALUES (1), (3), (4), (5)) v(k)")
 def single_edge_writes(spark, d):
     return small(spark, d).graph().edges("NEXT").unordered().select("id", _value("weight", "i"))
 
@@ -253,7 +253,7 @@ def single_writes_journal(spark, d):
     return journal.events(store.journal()).join(based, "change_id").select("sequence", F.col("revision.counter").alias("counter"), "event", "has_base")
 
 
-@query("SELECT 5 AS nodes, 4 AS edges, 18 AS next")
+@query("SELECT CAST(5 AS BIGINT) AS nodes, CAST(4 AS BIGINT) AS edges, CAST(18 AS BIGINT) AS next")
 def store_reopened(spark, d):
     g = GraphStore.open(spark, small(spark, d).path, actor="me")
     nodes, edges = (x.count_df().withColumnRenamed("count", name) for x, name in ((g.graph().all_nodes(), "nodes"), (g.graph().edges(), "edges")))
@@ -295,7 +295,7 @@ def _listed(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in files.listStatus(p)] if files.exists(p) else []
 
 
-@query("SELECT 'customer:' || c_custkey AS id, 'Customer' AS labels, '00000000-0000-0000-0000-000000000000' AS actor, 0 AS counter, c_name AS name FROM customer")
+@query("SELECT 'customer:' || c_custkey AS id, 'Customer' AS labels, '00000000-0000-0000-0000-000000000000' AS actor, CAST(0 AS BIGINT) AS counter, c_name AS name FROM customer")
 def migrated_rows(spark, d):
     """Rows of the first schema: one label, properties as text, no revision."""
     text = F.to_json(_properties(name=("string", F.col("c_name"))))
@@ -348,14 +348,14 @@ _COUNTED = "(SELECT count(*) FROM customer WHERE c_nationkey < 5 AND {})"
 
 
 @query(
-    "SELECT * FROM (VALUES (1, 'a', 'idle', {all}, 0), (2, 'b', 'idle', 0, {all}), (3, 'a', 'idle', {even}, 0), (4, 'b', 'idle', {own}, {even})) v(round, device, state, pushed, pulled)".format(
+    "SELECT CAST(round AS BIGINT) AS round, device, state, pushed, pulled FROM (VALUES (1, 'a', 'idle', {all}, 0), (2, 'b', 'idle', 0, {all}), (3, 'a', 'idle', {even}, 0), (4, 'b', 'idle', {own}, {even})) v(round, device, state, pushed, pulled)".format(
         all=_COUNTED.format("true"), even=_COUNTED.format("c_custkey % 2 = 0"), own=_COUNTED.format("(c_custkey % 5 = 0 OR c_custkey % 10 = 3)"))
 )
 def sync_rounds(spark, d):
     return spark.createDataFrame(devices(spark, d).rounds[:4], "round bigint, device string, state string, pushed bigint, pulled bigint")
 
 
-@query("SELECT * FROM (VALUES (1, 'offline', 0, 0), (2, 'idle', 1, 0)) v(round, state, pushed, held)")
+@query("SELECT CAST(round AS BIGINT) AS round, state, CAST(pushed AS BIGINT) AS pushed, CAST(held AS BIGINT) AS held FROM (VALUES (1, 'offline', 0, 0), (2, 'idle', 1, 0)) v(round, state, pushed, held)")
 def sync_offline(spark, d):
     """A round that cannot reach the log changes nothing; the next one goes on."""
     store, backend = GraphStore.open(spark, _fresh(spark, "device"), actor="a"), LogBackend(spark, _fresh(spark, "log"))
@@ -413,7 +413,7 @@ def push_again(spark, d):
     return accepted.agg(F.countDistinct("change_id").alias("accepted")).withColumns({"fresh": F.lit(fresh).cast("bigint"), "held": F.lit(backend.end()).cast("bigint")})
 
 
-@query("SELECT * FROM (VALUES (1, 'log', 'idle'), (2, 'log', 'syncing'), (3, 'log', 'idle'), (4, 'log', 'syncing'), (5, 'log', 'offline'), (6, 'none', 'unknown')) v(step, backend, state)")
+@query("SELECT CAST(step AS BIGINT) AS step, backend, state FROM (VALUES (1, 'log', 'idle'), (2, 'log', 'syncing'), (3, 'log', 'idle'), (4, 'log', 'syncing'), (5, 'log', 'offline'), (6, 'none', 'unknown')) v(step, backend, state)")
 def sync_statuses(spark, d):
     told = []
     sync = Synchroniser(GraphStore.open(spark, _fresh(spark, "device"), actor="a"))
