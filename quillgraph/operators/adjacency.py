@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import spread
 from .journal import winners
 from .traverse import oriented
 
@@ -25,13 +26,13 @@ def attached(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges both of whose ends are live nodes."""
     ids = nodes.select("id")
     for end in ("from_id", "to_id"):
-        edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
+        edges = edges.join(spread(ids.withColumnRenamed("id", end)), end, "left_semi")
     return edges
 
 
 def missing_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges that lack a live end, for checks before a write."""
-    return edges.join(attached(nodes, edges).select("id"), "id", "left_anti")
+    return edges.join(spread(attached(nodes, edges).select("id")), "id", "left_anti")
 
 
 LOG_ACTIONS = ("insert", "delete")

@@ -50,9 +50,18 @@ def size_of(df: DataFrame) -> int:
 MOST_BYTES = 32 << 20
 
 
-def beside(df: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """A written table for the small side of a join: sent to all executors up to ``most`` rows and MOST_BYTES, hashed beyond that."""
-    return df.hint("broadcast" if size_of(df) <= MOST_BYTES and df.count() <= most else "shuffle_hash")
+def beside(df: DataFrame, most: int = 1 << 20, beyond: str = "shuffle_hash") -> DataFrame:
+    """A written table for the small side of a join: sent to all executors up to ``most`` rows and MOST_BYTES, hashed (or as ``beyond`` says) beyond that."""
+    return df.hint("broadcast" if size_of(df) <= MOST_BYTES and df.count() <= most else beyond)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: both sides are sorted and merged, and neither goes through the driver.
+
+    Without that, Catalyst sends a side of up to 10 MB to all executors by way of the driver. It takes the share of a
+    compressed file for the size of a column, so millions of ids pass for a few MB and fill the driver's memory.
+    """
+    return df.hint("merge")
 
 
 def numbered(df: DataFrame, *order: Column | str, after: int = 0, name: str = "number") -> tuple[DataFrame, int]:

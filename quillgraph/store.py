@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .graph import PropertyGraph
 from .operators import adjacency, journal
-from .plans.lineage import cut, numbered
+from .plans.lineage import beside, cut, numbered, spread
 from .types import EDGES, JOURNAL, NODES, PAYLOAD, PROP, REVISION, Revision, prop_row, random_ids, schema
 
 
@@ -46,6 +46,8 @@ class LastLabel(GraphError):
 #: Changes of many entities at once, for ``GraphStore.apply``. ``labels`` are a new node's, or those to add or remove.
 CHANGES = f"action string, entity_kind string, id string, labels array<string>, type string, from_id string, to_id string, properties map<string,{PROP}>"
 ACTIONS = ("add", "patch", "add_labels", "remove_labels", "delete")
+#: Keys of entities are sent to all executors up to this number, and joined beyond it.
+MOST_SENT = 1 << 17
 _ERRORS = {"exists": GraphError, "missing": NotFound, "end": EndpointMissing, "last label": LastLabel}
 
 
@@ -242,7 +244,7 @@ class GraphStore:
             base = self._base(f"{kind}s")
             if base is not None and (only is None or only.get(kind)):
                 touched = rows.filter(F.col("entity_kind") == kind).select(F.col("entity_id").alias("id")).distinct()
-                own = base.join(touched, "id", "left_semi") if only is None else base.filter(F.col("id").isin(only[kind]))
+                own = base.join(spread(touched), "id", "left_semi") if only is None else base.filter(F.col("id").isin(only[kind]))
                 rows = rows.unionByName(self._as_rows(own, kind), allowMissingColumns=True)
         return journal.fold(rows)
 
@@ -252,7 +254,7 @@ class GraphStore:
 
     def states(self, touched: DataFrame) -> DataFrame:
         """The states of some entities (entity_kind, entity_id), of those that there are."""
-        keys = touched.select("entity_kind", "entity_id").distinct()
+        keys = beside(cut(touched.select("entity_kind", "entity_id").distinct(), "keys"), MOST_SENT, "merge")
         rows = self._recent().join(keys, ["entity_kind", "entity_id"], "left_semi")
         for kind in ("node", "edge"):
             base = self._base(f"{kind}s")
@@ -264,8 +266,8 @@ class GraphStore:
         base = self._base(kind)
         if base is None:
             return rows
-        new = rows.join(base.select("id", F.col("seq").alias("_seq")), "id", "left").withColumn("seq", F.coalesce("_seq", "seq"))
-        return base.join(rows.select("id"), "id", "left_anti").select(rows.columns).unionByName(new.select(rows.columns))
+        new = rows.join(spread(base.select("id", F.col("seq").alias("_seq"))), "id", "left").withColumn("seq", F.coalesce("_seq", "seq"))
+        return base.join(spread(rows.select("id")), "id", "left_anti").select(rows.columns).unionByName(new.select(rows.columns))
 
     def nodes(self) -> DataFrame:
         """All nodes, deleted ones marked: the base under the folded journal."""
@@ -359,15 +361,14 @@ class GraphStore:
         """
         self._start()
         given = cut(_fitted(changes, CHANGES), "changes")
-        kinds = []
-        for kind, frame in (("node", self.nodes()), ("edge", self.edges())):
-            rows = self._as_rows(frame, kind)
-            kinds.append(rows.select("entity_kind", F.col("entity_id").alias("id"), F.col("payload").alias("now"), F.col("revision").alias("was"), (F.col("operation") == journal.DELETE).alias("dead")))
-        joined = given.join(kinds[0].unionByName(kinds[1]), ["entity_kind", "id"], "left").withColumn("times", F.count("*").over(Window.partitionBy("entity_kind", "id")))
-        live = F.coalesce(~F.col("dead"), F.lit(False))
         ends = given.filter("action = 'add' and entity_kind = 'edge'").select("id", F.explode(F.array("from_id", "to_id")).alias("end"))
-        there = self.nodes().filter("not is_deleted").select(F.col("id").alias("end")).unionByName(given.filter("action = 'add' and entity_kind = 'node'").select(F.col("id").alias("end")))
-        loose = ends.join(there, "end", "left_anti").select(F.lit("edge").alias("entity_kind"), "id", F.lit(True).alias("loose")).distinct()
+        touched = given.select("entity_kind", F.col("id").alias("entity_id")).unionByName(ends.select(F.lit("node").alias("entity_kind"), F.col("end").alias("entity_id")))
+        nothing = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema(JOURNAL)["payload"].dataType))  # of a deletion that came without one
+        held = cut(self.states(touched).select("entity_kind", F.col("entity_id").alias("id"), F.coalesce("payload", nothing).alias("now"), F.col("revision").alias("was"), (F.col("operation") == journal.DELETE).alias("dead")), "held")
+        joined = given.join(spread(held), ["entity_kind", "id"], "left").withColumn("times", F.count("*").over(Window.partitionBy("entity_kind", "id")))
+        live = F.coalesce(~F.col("dead"), F.lit(False))
+        there = held.filter("entity_kind = 'node' and not dead").select(F.col("id").alias("end")).unionByName(given.filter("action = 'add' and entity_kind = 'node'").select(F.col("id").alias("end")))
+        loose = ends.join(spread(there), "end", "left_anti").select(F.lit("edge").alias("entity_kind"), "id", F.lit(True).alias("loose")).distinct()
         labels = F.coalesce("labels", F.array().cast("array<string>"))
         had = F.coalesce(F.col("now.labels"), F.array().cast("array<string>"))
         after = F.array_sort(F.when(F.col("action") == "add", F.array_distinct(labels)).when(F.col("action") == "add_labels", F.array_union(had, labels)).otherwise(F.array_except(had, labels)))
@@ -384,7 +385,7 @@ class GraphStore:
         added = F.struct(journal.patched(F.lit(None), F.col("properties")).alias("properties"), F.when(F.col("entity_kind") == "node", after).alias("labels"), "type", "from_id", "to_id", F.current_timestamp().alias("created_at")).cast(PAYLOAD)
         patched = F.col("now").withField("properties", journal.patched(F.col("now.properties"), F.col("properties")))
         payload = F.when(F.col("action") == "add", added).when(F.col("action") == "patch", patched).when(relabels, F.col("now").withField("labels", after)).otherwise(F.col("now"))
-        rows = joined.join(loose, ["entity_kind", "id"], "left").select("entity_kind", F.col("id").alias("entity_id"), "action", "was", error.alias("error"), F.coalesce(idle, F.lit(False)).alias("idle"), payload.alias("payload"))
+        rows = joined.join(spread(loose), ["entity_kind", "id"], "left").select("entity_kind", F.col("id").alias("entity_id"), "action", "was", error.alias("error"), F.coalesce(idle, F.lit(False)).alias("idle"), payload.alias("payload"))
         checked = cut(rows, "changes")
         bad = checked.filter("error is not null").orderBy("entity_kind", "entity_id").first()
         if bad is not None:
@@ -452,8 +453,8 @@ class GraphStore:
             if frame is not None:
                 given = _fitted(frame, ddl).withColumns({"is_deleted": F.coalesce("is_deleted", F.lit(False)), "modified_at": F.coalesce("modified_at", F.lit(dt.datetime.now()))})
                 frames[name] = cut(journal.backfilled(given), "bulk")
-                known = old().select("id").unionByName(frames[name].select("id"))
-                twice = known.groupBy("id").count().filter("count > 1").join(frames[name].select("id"), "id", "left_semi").first()
+                known = old().select("id", F.lit(0).alias("given")).unionByName(frames[name].select("id", F.lit(1).alias("given")))
+                twice = known.groupBy("id").agg(F.count("*").alias("times"), F.sum("given").alias("given")).filter("times > 1 and given > 0 and id is not null").first()
                 if twice is not None:
                     raise GraphError(f"{name[:-1]} {twice['id']} exists or comes twice")
         if strict and "edges" in frames:

@@ -235,6 +235,31 @@ def test_a_failure_to_read_keeps_a_snapshot(spark, store, tmp_path, monkeypatch)
     assert load_or_discard(spark, path).nodes("P").count() == 1
 
 
+def test_what_grows_does_not_go_through_the_driver(store, spark, tmp_path):
+    """Spark takes 200,000 ids for less than 10 MB, as their files are small; in memory they are more. The least that it sends has a page of 4 MB."""
+    n = 200_000
+    nodes = spark.range(n).select(F.concat(F.lit("n"), "id").alias("id"), F.array(F.lit("P")).alias("labels"), F.lit("P").alias("label"), F.col("id").alias("seq"))
+    edges = spark.range(n).select(F.concat(F.lit("e"), "id").alias("id"), F.lit("L").alias("type"), F.concat(F.lit("n"), "id").alias("from_id"), F.concat(F.lit("n"), (F.col("id") * 7) % n).alias("to_id"), F.col("id").alias("seq"))
+    few = [("delete", "node", "n3", None, None, None, None, None), ("add", "node", "new", ["P"], None, None, None, None), ("add", "edge", "f", None, "L", "new", "n5", None), ("patch", "edge", "e9", None, None, None, None, {"v": prop_row(1)})]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "9m")
+    try:
+        assert store.bulk_insert(nodes, edges, strict=True) == (n, n)
+        assert store.apply(spark.createDataFrame(few, schema(CHANGES))) == 4
+        with pytest.raises(EndpointMissing):
+            store.apply(spark.createDataFrame([("add", "edge", "g", None, "L", "new", "n3", None)], schema(CHANGES)))
+        with pytest.raises(GraphError):
+            store.bulk_insert(nodes.filter("seq = 8"))
+        store.compact()
+        store.delete_node("n4")
+        g = store.graph()
+        assert g.nodes("P").unordered().count() == n - 1 and props(store.edge("e9")) == {"v": 1}
+        assert g.without_dangling().live_edges().count() == n + 1 - 4  # e3 and e4, and the two edges that end there
+        write_snapshot(g, str(tmp_path / "snapshot"))
+        assert read_snapshot(spark, str(tmp_path / "snapshot")).edges("L").unordered().count() == n + 1
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_changes_of_many_entities(store, spark):
     row = lambda action, kind, id, **c: (action, kind, id, c.get("labels"), c.get("type"), c.get("from_id"), c.get("to_id"), {k: prop_row(v) for k, v in c["properties"].items()} if "properties" in c else None)
     frame = lambda *rows: spark.createDataFrame(list(rows), schema(CHANGES))
