@@ -7,6 +7,7 @@ import gc
 import re
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,10 @@ from ..plans.lineage import beside, cut, size_of  # noqa: F401  beside is for th
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Only A-Z are lower-cased.
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes that workers take at a time.
+BATCH = 4 << 20
+#: Spark's limit for the bytes that it hands over at a time; the row that passes it is in, too.
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +36,28 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Workers get rows in batches of BATCH bytes and a row at most meanwhile, not of 10,000 rows or 64 MB.
+
+    An executor holds each batch several times outside its heap, and seldom gives that memory back. All rows are handed over.
+    """
+    before = spark.conf.get(BATCH_KEY)
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) <= BATCH:
+        spark.conf.set(BATCH_KEY, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet into the shared folder and reads it back (see ``plans.lineage``).
 
     What is read has a known size, survives the loss of any executor and is never computed twice.
     """
-    return cut(df, name)
+    with small_batches(df.sparkSession):
+        return cut(df, name)
 
 
 def give_back() -> None:
@@ -75,7 +96,7 @@ def text_column(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.select(doc_id, F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = BATCH) -> Iterator[pa.RecordBatch]:
     """A batch in parts whose texts have about ``size`` bytes, so that what a part becomes fits in a worker's memory."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False))
     at = 0

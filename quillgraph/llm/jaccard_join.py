@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, beside, dealt_out, frugal, mix64, slices, text_column, written
+from .common import ascii_lower, beside, dealt_out, frugal, mix64, slices, small_batches, text_column, written
 from .components import connected_components
 
 SKETCH, CHUNKS = 1 << 20, 64
@@ -295,7 +295,9 @@ def sketch_of(sets: DataFrame) -> np.ndarray:
 
     schema = "chunk int, counts binary"
     sketch = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint64)
-    for r in sets.select("tokens").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).collect():  # SKETCH numbers, whatever the input
+    with small_batches(sets.sparkSession):
+        rows = sets.select("tokens").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).collect()  # SKETCH numbers, whatever the input
+    for r in rows:
         sketch[r["chunk"]] = np.frombuffer(r["counts"], np.uint64)
     return levels(sketch.reshape(-1))
 
